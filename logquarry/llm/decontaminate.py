@@ -47,6 +47,11 @@ def shingle_hashes(words: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
+def bound(value: Column, make) -> Column:
+    """``make(value)`` with ``value`` as a lambda variable, so it is computed once a row even where the optimizer copies the expression into a filter."""
+    return F.transform(F.array(value), make)[0]
+
+
 def bounded(df: DataFrame) -> DataFrame:
     """``df``, marked for broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -68,7 +73,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     containment. Other columns aren't read.
     """
     spark = docs.sparkSession
-    docs = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    docs = id_and_text(docs, id_col, text_col).where("doc_id is not null and text is not null")
     items = items.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("words")).where("item_id is not null and size(words) > 0")
     items = items.select("item_id", "words", F.least(F.size("words"), F.lit(SHINGLE)).alias("k"))
     sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # at most five values
@@ -78,24 +83,25 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     def by_size(make) -> Column:
         return F.coalesce(*[F.when(F.col("k") == k, make(F.col("words"), k)) for k in sizes])
 
-    items = written(items.select("item_id", "k", by_size(shingles).alias("item_shingles"), F.array_distinct(by_size(shingle_hashes)).alias("hashes")), "decontaminate-items")
+    items = written(items.select("item_id", "words", "k", by_size(shingles).alias("item_shingles")), "decontaminate-items")
+    hashed = written(items.select("item_id", "k", F.array_distinct(by_size(shingle_hashes)).alias("hashes")), "decontaminate-sketches")
     n = F.size("hashes")
-    sketches = items.select(
+    sketches = hashed.select(
         "item_id",
-        "k",
         F.floor(F.log2(n)).cast("int").alias("size_class"),
         F.explode(F.slice(F.array_sort("hashes"), F.lit(1), n - needed(n) + 1)).alias("hash"),
     )
     # A class holds items of 2**c to 2**(c+1)-1 shingles; this is the least that a document needs for any of them.
     sketches = sketches.withColumn("least", needed(F.pow(F.lit(2.0), F.col("size_class")).cast("int")))
 
-    long_docs = docs.select("doc_id", F.size("words").alias("n_words"), F.concat(*[shingle_hashes(F.col("words"), k) for k in sizes]).alias("hashes"))
-    seen = long_docs.select("doc_id", "n_words", F.explode("hashes").alias("hash"))
-    pairs = seen.join(bounded(sketches), "hash").where("n_words - k + 1 >= least").select("doc_id", "item_id").distinct()
+    hashes = bound(words_of(F.col("text")), lambda words: F.concat(*[shingle_hashes(words, k) for k in sizes]))
+    # An outer explode, as for an inner one the optimizer would compute the hashes once more in a filter.
+    seen = docs.select("doc_id", F.explode_outer(hashes).alias("hash"))
+    pairs = seen.join(bounded(sketches), "hash").groupBy("doc_id", "item_id").agg(F.min("least").alias("least"))
     pairs = written(pairs, "decontaminate-pairs")
 
-    checked = docs.join(bounded(pairs), "doc_id").join(bounded(items.drop("hashes")), "item_id")
-    shared = F.size(F.array_intersect(F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("words"), k)) for k in sizes]), F.col("item_shingles")))
+    checked = docs.join(bounded(pairs), "doc_id").join(bounded(items.drop("words")), "item_id")
+    shared = bound(words_of(F.col("text")), lambda words: F.when(F.size(words) >= F.col("least"), F.size(F.array_intersect(F.coalesce(*[F.when(F.col("k") == k, shingles(words, k)) for k in sizes]), F.col("item_shingles")))))
     checked = checked.select("doc_id", "item_id", shared.cast("long").alias("n_shared"), F.size("item_shingles").cast("long").alias("n_item"))
     checked = checked.where(F.col("n_shared") * 100 >= F.col("n_item") * PERCENT)
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_shared", "n_item")).alias("b"))
@@ -116,10 +122,10 @@ QUERIES = {"op5_decontaminate": op5_decontaminate}
 ORACLES = {
     "op5_decontaminate": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+  SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
 ), bk AS (
   SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0
