@@ -1,8 +1,8 @@
 """Queries of the training-data operators and the SQL for those that SQL can express."""
 
-from logquarry.llm import decontaminate, quality_rules, simhash
+from logquarry.llm import bpe, decontaminate, quality_rules, simhash
 
-_MODULES = (simhash, decontaminate, quality_rules)
+_MODULES = (simhash, decontaminate, quality_rules, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
