@@ -60,3 +60,8 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ready(df: DataFrame) -> DataFrame:
+    prepared(df.sparkSession)
+    return df
