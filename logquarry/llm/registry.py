@@ -1,8 +1,8 @@
 """Queries of the training-data operators and the SQL for those that SQL can express."""
 
-from logquarry.llm import bpe, decontaminate, pii, quality_rules, simhash, token_counts, token_files
+from logquarry.llm import bpe, decontaminate, pii, quality_model, quality_rules, simhash, token_counts, token_files
 
-_MODULES = (simhash, token_files, token_counts, decontaminate, pii, quality_rules, bpe)
+_MODULES = (simhash, token_files, token_counts, decontaminate, pii, quality_model, quality_rules, bpe)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
