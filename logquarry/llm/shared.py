@@ -41,6 +41,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like ``written``, as a table bucketed by ``key``: grouping by it later moves no row of the table."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", shared_path(spark, label)).bucketBy(parts(spark), key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; only the name goes
+    return found
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Bound the rows of an Arrow batch in this session."""
     rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
