@@ -57,6 +57,32 @@ def unpack_array(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(expand(data), kind)
 
 
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Unsigned 32-bit codes, byte plane by byte plane."""
+    return pack_array(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack_array(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+class Codes(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = code = len(self)
+        return code
+
+
+def sorted_codes(where: dict, codes: list[np.ndarray], as_bytes: Callable = bytes) -> tuple[list[bytes], np.ndarray]:
+    """The keys of ``where`` as sorted byte strings, which compress better, and all codes renumbered for them."""
+    words = [as_bytes(k) for k in where]
+    order = sorted(range(len(words)), key=words.__getitem__)
+    rank = np.empty(len(words), np.uint32)
+    rank[order] = np.arange(len(words), dtype=np.uint32)
+    return [words[k] for k in order], rank[np.concatenate(codes)] if words else rank
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
     """(block, ids, texts) of the rows of one partition; null texts become empty.
 
@@ -89,7 +115,7 @@ def bucket_order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarr
 def bucket_count(blocks: DataFrame) -> int:
     """Buckets for the written ``blocks``, so that each holds about ``BUCKET_WORDS`` words."""
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    return max(1, min(4 * parts(blocks.sparkSession), total // 1000), total // BUCKET_WORDS)
+    return max(1, min(parts(blocks.sparkSession), total // 1000), total // BUCKET_WORDS)
 
 
 def exchange(blocks: DataFrame, buckets: int, answer: Callable[[list[list[bytes]], list[bytes | None]], list[bytes]], values: str | None = None) -> DataFrame:
@@ -97,7 +123,8 @@ def exchange(blocks: DataFrame, buckets: int, answer: Callable[[list[list[bytes]
 
     ``blocks`` has ``block``, ``words`` (packed) and, if ``values`` names one, a
     packed int64 column aligned with the words. ``answer`` gets, for one bucket,
-    the words and packed values of each block, and returns a payload for each.
+    the words and packed values of each block, and returns a payload for each;
+    one payload more is the bucket's own and gets the block number -1.
     """
     taken = blocks.select("block", "words", *([values] if values else []))
 
@@ -118,7 +145,9 @@ def exchange(blocks: DataFrame, buckets: int, answer: Callable[[list[list[bytes]
 
     def reduce(group: pa.Table) -> pa.Table:
         said = answer([unpack_words(x) for x in group["words"].to_pylist()], group["vals"].to_pylist())
-        return pa.table({"block": group["block"], "bucket": group["bucket"], "payload": pa.array(said, pa.binary())})
+        numbers, bucket = group["block"].to_pylist(), group["bucket"][0].as_py()
+        numbers += [-1] * (len(said) - len(numbers))
+        return pa.table({"block": pa.array(numbers, pa.int64()), "bucket": pa.array([bucket] * len(said), pa.int32()), "payload": pa.array(said, pa.binary())})
 
     rows = taken.mapInArrow(spread, "bucket int, block long, words binary, vals binary")
     return rows.groupBy("bucket").applyInArrow(reduce, "block long, bucket int, payload binary")
