@@ -20,8 +20,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.blocks import bucket_count, bucket_order, exchange, in_blocks, pack_array, pack_words, unpack_array, unpack_words
-from logquarry.llm.shared import id_and_text, table, written
+from logquarry.llm.blocks import Codes, bucket_count, bucket_order, exchange, in_blocks, pack_array, pack_codes, pack_words, sorted_codes, unpack_array, unpack_codes, unpack_words
+from logquarry.llm.shared import bucketed, id_and_text, table
 
 #: How byte-level BPE splits a text (the public pattern of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,18 +59,28 @@ def _unsettled() -> re.Pattern:
     return re.compile(f"[{''.join(spans)}]")
 
 
+#: The same split in the standard library's syntax, for the code points where both agree.
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Code points outside ASCII text and Latin letters.
+_beyond_latin = re.compile("[\x1c-\x1f\x80-\xbf\u0250-\U0010ffff]").search
+_beyond_settled = re.compile("[\u0558-\U0010ffff]").search
+
+
 class Splitter:
     """Splits texts into keys: a word, or a special token marked by a first byte of 1."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.find = regex.compile(PATTERN).findall
+        self.find_plain = re.compile(PLAIN_PATTERN).findall
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = set(special)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii() and _unsettled().search(text):
+        if not _beyond_latin(text):
+            return self.find_plain(text)
+        if _beyond_settled(text) and _unsettled().search(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.find(text)
 
@@ -83,6 +93,19 @@ class Splitter:
         return keys
 
 
+@functools.lru_cache(1)
+def _visible() -> dict[int, str]:
+    """Byte-level tokenizers' character for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def word_ids(model, word: str) -> list[int]:
+    """Ids of one word of a byte-level tokenizer, by the library's model alone: the word is split off already."""
+    return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_visible()))]
+
+
 def _is_special(key: str, special: set[str]) -> bool:
     return key[:1] == "\x01" and key[1:] in special
 
@@ -91,13 +114,13 @@ def _encode_bucket(path: str):
     def answer(lists: list[list[bytes]], _: list) -> list[bytes]:
         tokenizer = load(path)
         special = Splitter(path).special
-        where: dict[bytes, int] = {}
-        codes = [np.array([where.setdefault(w, len(where)) for w in words], np.int64) for words in lists]
+        where = Codes()
+        codes = [np.fromiter(map(where.__getitem__, words), np.int64, len(words)) for words in lists]
         distinct = [w.decode("utf-8") for w in where]
         plain = [w[1:] if _is_special(w, special) else w for w in distinct]
-        ids: list[list[int]] = []
-        for k in range(0, len(plain), 20000):
-            ids += [e.ids for e in tokenizer.encode_batch(plain[k : k + 20000], add_special_tokens=False)]
+        model, ids = tokenizer.model, []
+        for key, word in zip(distinct, plain, strict=True):
+            ids.append([tokenizer.token_to_id(word)] if key is not word else word_ids(model, word))
         lengths = np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.uint32)
         starts = np.cumsum(lengths) - lengths
@@ -128,20 +151,19 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(path)
         for block, ids, texts in in_blocks(batches):
-            where: dict[str, int] = {}
-            codes, sizes = [], []
-            put = where.setdefault
+            where, codes, sizes = Codes(), [], []
             for text in texts:
-                keys = splitter.keys(text.encode("utf-8", "replace").decode() if not text.isascii() else text)
-                codes.append(np.array([put(k, len(where)) for k in keys], np.uint32))
+                keys = splitter.keys(text)
+                codes.append(np.fromiter(map(where.__getitem__, keys), np.uint32, len(keys)))
                 sizes.append(len(keys))
+            words, coded = sorted_codes(where, codes, str.encode)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack_array(np.concatenate(codes))], pa.binary()), pa.array([pack_words([k.encode() for k in where])], pa.binary()), pa.array([len(where)], pa.int64())],
+                [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack_codes(coded)], pa.binary()), pa.array([pack_words(words)], pa.binary()), pa.array([len(words)], pa.int64())],
                 ["block", "ids", "sizes", "codes", "words", "n_words"],
             )
 
     blocks = id_and_text(docs, id_col, text_col).mapInArrow(split, "block long, ids array<long>, sizes array<int>, codes binary, words binary, n_words long")
-    blocks = written(blocks, "bpe-blocks")
+    blocks = bucketed(blocks, "block", "bpe-blocks")
     buckets = bucket_count(blocks)
     answers = exchange(blocks, buckets, _encode_bucket(path))
 
@@ -160,7 +182,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 at += n
             starts = np.zeros(len(words), np.int64)
             starts[order] = np.cumsum(lengths[order]) - lengths[order]
-            codes = unpack_array(row["codes"], np.uint32)
+            codes = unpack_codes(row["codes"])
             each = lengths[codes]
             tokens = gather(np.concatenate(flat), starts[codes], each).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(each)])[np.cumsum([0, *row["sizes"]])]
@@ -175,9 +197,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 def pieces(path: str) -> list[bytes]:
     """The bytes of each id, by id."""
     tokenizer = load(path)
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in visible}
-    byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
+    byte_of = {c: b for b, c in _visible().items()}
     out = []
     for k in range(tokenizer.get_vocab_size()):
         token = tokenizer.id_to_token(k) or ""
