@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.shared import id_and_text, table, written
-from logquarry.llm.token_files import WordEncoder, default_vocabulary
+from logquarry.llm.token_files import default_vocabulary, slices, word_encoder
 
 #: Lengths summed in one window; the windows' totals are summed in a second one.
 SPAN = 1024
@@ -25,10 +25,9 @@ def token_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for some in slices(batch):
                 yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(encoder.encode(some["text"].to_pylist())[1], pa.int64())], ["doc_id", "n_tokens"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")

@@ -14,19 +14,25 @@ documents with their lengths.
 
 from __future__ import annotations
 
+import functools
+import json
 import posixpath
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.bpe import gather, load
+from logquarry.llm.blocks import Codes
+from logquarry.llm.bpe import gather, load, word_ids
 from logquarry.llm.shared import id_and_text, parts, shared_path, table, written
 
 MAGIC = b"LQIDS\x00\x00\x01"
@@ -34,8 +40,9 @@ CHUNK_IDS = 1 << 16
 #: Ids after which a new file is begun.
 FILE_IDS = 1 << 22
 END_ID = 2
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 200_000
+#: Words in a generation of those whose ids a Python worker remembers.
+REMEMBERED = 250_000
+SLICE_CHARS = 4_000_000
 
 
 def default_vocabulary() -> str:
@@ -44,37 +51,103 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The split of the lower-case word tokenizer, for words of ASCII and Latin letters, where it means what the library's pattern means.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+").findall
+_LATIN = re.compile("[\x00-\x1b\x21-\x7f\xc0-\u012f\u0131-\u024f]*").fullmatch
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
 class WordEncoder:
-    """Encodes texts for tokenizers that drop white space, word by word, and remembers frequent words."""
+    """Encodes texts for tokenizers that drop white space, word by word, and remembers recent words.
+
+    For the usual lower-case tokenizer, words of Latin letters are split here
+    and only their distinct pieces go to the library's model; other words, and
+    all words of other tokenizers, go through the whole library.
+
+    Two generations of words are kept: when the younger one is full it becomes
+    the older one, and words asked for again move up.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known: dict[bytes, list[int]] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        form = json.loads(self.tokenizer.to_str())
+        pieces = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.known_form = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and pieces.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        self.special = [t["content"] for t in form["added_tokens"]]
+
+    def _new(self, words: list[bytes]) -> list[bytes]:
+        """The ids, as bytes, of words that aren't remembered."""
+        out: list[bytes | None] = []
+        model, pieces = self.tokenizer.model, self.pieces
+        if len(pieces) > REMEMBERED:
+            pieces.clear()
+        for word in map(bytes.decode, words):
+            if not self.known_form or not _LATIN(word) or any(s in word for s in self.special):
+                out.append(None)
+                continue
+            ids = []
+            for piece in _PIECES(word.lower()):
+                got = pieces.get(piece)
+                if got is None:
+                    got = pieces[piece] = array("I", word_ids(model, piece)).tobytes()
+                ids.append(got)
+            out.append(b"".join(ids))
+        other = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(other, self.tokenizer.encode_batch([words[k].decode() for k in other], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32).tobytes()
+        return out
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as bytes."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    missing.append(w)
+        young.update(zip(missing, self._new(missing), strict=True))
+        return [young[w] for w in words]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
-        where: dict[bytes, int] = {}
-        put = where.setdefault
-        codes = [np.array([put(w, len(where)) for w in (t or "").encode("utf-8", "replace").split()], np.int64) for t in texts]
-        missing = [w for w in where if w not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = list(where)
-        for k in range(0, len(missing), 20000):
-            some = missing[k : k + 20000]
-            found = self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)
-            self.known.update(zip(some, (e.ids for e in found), strict=True))
-        ids = [self.known[w] for w in where]
-        lengths = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
+        where, codes = Codes(), []
+        for text in texts:
+            words = (text or "").encode("utf-8", "replace").split()
+            codes.append(np.fromiter(map(where.__getitem__, words), np.uint32, len(words)))
+        found = self._look_up(list(where))
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)
         starts = np.cumsum(lengths) - lengths
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        each = lengths[every] if len(every) else every
+        every = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        each = lengths[every]
         sums = np.concatenate([[0], np.cumsum(each)])
-        ends = sums[np.cumsum([len(c) for c in codes])] if codes else np.zeros(0, np.int64)
+        ends = sums[np.cumsum([len(c) for c in codes], dtype=np.int64)]
         return (gather(flat, starts[every], each) if len(every) else flat[:0]), np.diff(ends, prepend=0)
 
 
+@functools.lru_cache(1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, whose words outlive a task."""
+    return WordEncoder(path)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, at most ``SLICE_CHARS`` bytes of text at a time (or one row)."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
+    part = (np.cumsum(sizes) - sizes) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def to_planes(ids: np.ndarray, bits: int) -> np.ndarray:
     """The ids' planes as rows: bit k (or byte k) of every id, packed."""
     raw = np.ascontiguousarray(ids.astype("<u4")).view(np.uint8).reshape(-1, 4)
@@ -147,7 +220,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encoder, part, seq = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = word_encoder(path), TaskContext.get().partitionId(), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def flush():
@@ -165,8 +238,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
             return row
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
+            for some in slices(batch):
                 ids, lengths = encoder.encode(some["text"].to_pylist())
                 # The end id goes behind each document.
                 ids = np.insert(ids, np.cumsum(lengths), end_id).astype(np.uint32)
