@@ -16,13 +16,11 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.shared import id_and_text, table, written
+from logquarry.llm.shared import BROADCAST_IDS, bounded, id_and_text, table, written
 
 SHINGLE = 5
 #: Containment in percent, as whole numbers keep the bounds exact.
 PERCENT = 80
-#: Rows up to which a counted table is broadcast; larger ones are joined by shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -52,11 +50,6 @@ def bound(value: Column, make) -> Column:
     return F.transform(F.array(value), make)[0]
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def needed(n: Column) -> Column:
     """How many of ``n`` shingles a document must hold."""
     return F.floor((n * PERCENT + 99) / 100).cast("int")
@@ -111,7 +104,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that contain an item; all columns stay."""
     found = contained_items(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bounded(written(found, "decontaminate-ids")), id_col, "left_anti")
+    return docs.join(bounded(written(found, "decontaminate-ids"), BROADCAST_IDS), id_col, "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts may be long, so batches stay well below Spark's default of 10,000 rows.
 BATCH_ROWS = 2000
+#: Rows up to which a counted table is broadcast, and those for one that only has ids.
+BROADCAST_ROWS = 200_000
+BROADCAST_IDS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +44,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it was counted to have few rows; a larger one is joined by shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """Like ``written``, as a table bucketed by ``key``: grouping by it later moves no row of the table."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.shared import id_and_text, parts, table, written
+from logquarry.llm.shared import BROADCAST_IDS, bounded, id_and_text, parts, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = written(near_duplicates(docs, id_col, text_col), "simhash-classes")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    kept = docs.join(bounded(written(gone, "simhash-gone"), BROADCAST_IDS), id_col, "left_anti")
     twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
     if twice.isEmpty():
         return kept
