@@ -41,3 +41,11 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
     return spark
+
+
+def checkpoint_ready(spark: SparkSession) -> SparkSession:
+    """Give the context a checkpoint folder: the shared one of the session, or a temporary one where none is set."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logquarry-checkpoints-"))
+    return spark
