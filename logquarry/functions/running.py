@@ -1,4 +1,10 @@
-"""Running values that don't need a whole group in one task."""
+"""Running values that don't need a whole group in one task.
+
+Groups are cut into pieces of an integer column. Windows run over pieces; what a
+piece hands on is one row, and a second window runs over those rows, so one huge
+group spreads over many tasks. Every call reads its input twice: cut the lineage
+before a chain of calls (``session.settled``).
+"""
 
 from __future__ import annotations
 
@@ -9,28 +15,33 @@ from pyspark.sql import functions as F
 PIECE = 65_536
 
 
-def carry_last(df: DataFrame, group: str, order: str, value: Column, out: str, before: bool = False, piece: int = PIECE) -> DataFrame:
-    """``df`` with ``out``, the last non-null ``value`` of the group up to the row (``before``: ahead of it).
-
-    Groups are cut into pieces of the integer column ``order``. Windows run over
-    pieces; what a piece hands on is one row, and a second window runs over
-    those, so one huge group spreads over many tasks.
-    """
-    cut = df.withColumn("_value", value).withColumn("_piece", F.floor(F.col(order) / piece))
-    end = -1 if before else Window.currentRow
-    own = F.last("_value", ignorenulls=True).over(Window.partitionBy(group, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, end))
-    handed = cut.groupBy(group, "_piece").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(F.col(order), "_value"))).alias("_end"))
-    earlier = F.last("_end", ignorenulls=True).over(Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
-    handed = handed.select(group, "_piece", earlier.getField("_value").alias("_earlier"))
-    joined = cut.withColumn("_own", own).join(handed, [group, "_piece"])
-    return joined.withColumn(out, F.coalesce("_own", "_earlier")).drop("_value", "_piece", "_own", "_earlier")
-
-
-def running_sum(df: DataFrame, group: str, order: str, value: Column, out: str, piece: int = PIECE) -> DataFrame:
-    """``df`` with ``out``, the sum of ``value`` in the group up to and with the row, piece by piece."""
-    cut = df.withColumn("_value", value.cast("long")).withColumn("_piece", F.floor(F.col(order) / piece))
-    own = F.sum("_value").over(Window.partitionBy(group, "_piece").orderBy(order))
-    totals = cut.groupBy(group, "_piece").agg(F.sum("_value").alias("_total"))
-    earlier = F.coalesce(F.sum("_total").over(Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(group, "_piece", earlier.alias("_earlier"))
-    return cut.withColumn("_own", own).join(totals, [group, "_piece"]).withColumn(out, F.col("_own") + F.col("_earlier")).drop("_value", "_piece", "_own", "_earlier")
+def running(df: DataFrame, group: str, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: bool = False, piece: int = PIECE) -> DataFrame:
+    """``df`` with running sums and last non-null values of the group up to the row (``before``: ahead of it)."""
+    sums, lasts = sums or {}, lasts or {}
+    cut = df.withColumn("_piece", F.floor(F.col(order) / piece))
+    for name, value in sums.items():
+        cut = cut.withColumn(f"_v_{name}", value.cast("long"))
+    for name, value in lasts.items():
+        cut = cut.withColumn(f"_v_{name}", value)
+    rows = Window.partitionBy(group, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    ahead = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.groupBy(group, "_piece").agg(
+        *[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in sums],
+        *[F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(F.col(order), f"_v_{n}"))).alias(f"_e_{n}") for n in lasts],
+    )
+    ends = ends.select(group, "_piece", *[F.sum(f"_e_{n}").over(ahead).alias(f"_a_{n}") for n in sums], *[F.last(f"_e_{n}", ignorenulls=True).over(ahead)[f"_v_{n}"].alias(f"_a_{n}") for n in lasts])
+    for name in sums:
+        cut = cut.withColumn(f"_o_{name}", F.sum(f"_v_{name}").over(rows))
+    for name in lasts:
+        cut = cut.withColumn(f"_o_{name}", F.last(f"_v_{name}", ignorenulls=True).over(rows))
+    out = cut.join(ends, [group, "_piece"])
+    for name in sums:
+        out = out.withColumn(name, F.coalesce(f"_o_{name}", F.lit(0)) + F.coalesce(f"_a_{name}", F.lit(0)))
+    for name in lasts:
+        out = out.withColumn(name, F.coalesce(f"_o_{name}", f"_a_{name}"))
+    return out.drop("_piece", *[f"_{k}_{n}" for k in "voa" for n in (*sums, *lasts)])
+
+
+def carry_last(df: DataFrame, group: str, order: str, value: Column, out: str, before: bool = False) -> DataFrame:
+    """``df`` with ``out``, the last non-null ``value`` of the group up to the row (``before``: ahead of it)."""
+    return running(df, group, order, lasts={out: value}, before=before)

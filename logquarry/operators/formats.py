@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import times
 from logquarry.functions.running import carry_last
 from logquarry.operators import rules
+from logquarry.session import settled
 from logquarry.operators.rules import DETAIL, ERROR, ID, INFO, WARNING, identifier, level_severity, status_severity
 
 WEEKDAY = r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
@@ -220,13 +221,13 @@ def parse(lines: DataFrame, layout: str, file_dates: DataFrame | None = None) ->
     opened = carry_last(lines, "source_id", "line_no", F.when(F.col("stamped") | ~F.col("indented"), F.col("line_no")), "event_line")
     first = lines.groupBy("source_id").agg(F.min("line_no").alias("first_line"))
     # An indented line with nothing before it opens an event, and what follows may continue it.
-    opened = opened.join(first, "source_id").withColumn("event_line", F.coalesce("event_line", "first_line")).drop("first_line")
+    opened = settled(opened.join(first, "source_id").withColumn("event_line", F.coalesce("event_line", "first_line")).drop("first_line"))
     heads = chosen.parse(opened.where((F.col("line_no") == F.col("event_line")) & F.col("stamped")))
     bare = opened.where((F.col("line_no") == F.col("event_line")) & ~F.col("stamped"))
     for name in FIELDS:
         bare = bare.withColumn(name, F.lit(None).cast(heads.schema[name].dataType))
     bare = bare.withColumn("etype", F.lit("line")).withColumn("severity", F.lit(INFO)).withColumn("ids", _no_ids()).withColumn("message", F.col("text"))
-    heads = heads.unionByName(bare.select(heads.columns))
+    heads = settled(heads.unionByName(bare.select(heads.columns)))
     timed = carry_last(heads, "source_id", "line_no", F.when(F.col("stamped"), F.struct("wall", "offset")), "clock", before=True)
     bare_flag = F.when(F.col("clock.wall").isNotNull(), "inherited").otherwise("none")
     timed = timed.select(

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import times
-from logquarry.functions.running import carry_last, running_sum
+from logquarry.functions.running import carry_last, running
 from logquarry.operators import rules
 from logquarry.operators.formats import EVENT_LOG, EVENT_LOG_HEADER
 from logquarry.operators.rules import DETAIL, ID, INFO
+from logquarry.session import settled
 
 # Fixed values.
 BLOCK_LIMIT = 400
@@ -67,14 +68,13 @@ def _items(lines: DataFrame) -> DataFrame:
 def _groups(lines: DataFrame) -> DataFrame:
     """Each line with its restart (``segment``), transcript and group of lines that are closed together."""
     restart = F.col("role").isin("start", "opening")
-    lines = running_sum(lines, "source_id", "line_no", restart, "segment")
     mark = F.when(F.col("role") == "begin", F.col("line_no")).when(F.col("role") == "end", F.lit(-1))
-    lines = carry_last(lines, "source_id", "line_no", mark, "chunk").withColumn("chunk", F.when((F.col("chunk") > 0) & (F.col("role") != "begin"), F.col("chunk")))
+    lines = running(lines, "source_id", "line_no", sums={"segment": restart}, lasts={"chunk": mark, "clock": F.col("wall")})
+    lines = lines.withColumn("chunk", F.when((F.col("chunk") > 0) & (F.col("role") != "begin"), F.col("chunk")))
     # What opens a group; a delimiter closes one behind itself, so the line after it opens the next.
     opens = F.col("role").isin("start", "begin", "end") | ((F.col("role") == "opening") & F.col("chunk").isNull())
     closes = (F.col("role") == "delimiter") & F.col("chunk").isNull()
-    lines = running_sum(lines, "source_id", "line_no", opens, "_opened")
-    lines = running_sum(lines, "source_id", "line_no", closes, "_closed")
+    lines = running(lines, "source_id", "line_no", sums={"_opened": opens, "_closed": closes})
     return lines.withColumn("group", F.col("_opened") * 2 + (F.col("_closed") - closes.cast("int")) * 2 + F.col("chunk").isNotNull().cast("int")).drop("_opened", "_closed")
 
 
@@ -122,29 +122,26 @@ def _sessions(owners: DataFrame) -> DataFrame:
     earlier = owners.join(tails, ["source_id", "first_text"], "left").where("tail_line is null or tail_line < first_line")
     keys = ["source_id", "group", "piece"]
     linked = earlier.groupBy(keys).agg(F.max("tail_line").alias("before"))
-    linked = owners.join(linked, keys, "left").select("source_id", "first_line", "stated", "before")
+    linked = settled(owners.join(linked, keys, "left").select("source_id", "first_line", "stated", "before"))
     for _ in range(CHAIN_ROUNDS):
         if linked.where("stated is null and before is not null").isEmpty():
             break
         back = linked.select("source_id", F.col("first_line").alias("before"), F.col("stated").alias("_stated"), F.col("before").alias("_before"))
         joined = linked.join(back, ["source_id", "before"], "left")
-        linked = joined.select("source_id", "first_line", F.coalesce("stated", "_stated").alias("stated"), F.when(F.col("stated").isNull() & F.col("_stated").isNull(), F.col("_before")).alias("before")).checkpoint()
+        linked = settled(joined.select("source_id", "first_line", F.coalesce("stated", "_stated").alias("stated"), F.when(F.col("stated").isNull() & F.col("_stated").isNull(), F.col("_before")).alias("before")))
     found = linked.select("source_id", "first_line", F.col("stated").alias("session"))
     return owners.join(found, ["source_id", "first_line"]).withColumn("continued", F.col("session").isNotNull() & F.col("stated").isNull())
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """Events of event-log lines (``source_id``, ``line_no``, ``text``), with sessions, requests and blocks as contexts."""
-    from logquarry.session import checkpoint_ready
-
-    checkpoint_ready(lines.sparkSession)
-    lines = _groups(_items(lines.where(F.trim("text") != "")))
-    items = _cut(_attached(lines))
-    owners = _sessions(_owners(items))
+    lines = settled(_groups(settled(_items(lines.where(F.trim("text") != "")))))
+    items = settled(_cut(_attached(lines)))
+    owners = _sessions(settled(_owners(items)))
     items = rules.classify(items.join(owners.select("source_id", "group", "piece", "first_line", "session", "continued", "size", "delimited"), ["source_id", "group", "piece"]), "message", rules.EVENT_LOG_RULES)
-    items = items.where(~(F.col("continued") & (F.col("line_no") == F.col("first_line"))))
+    items = settled(items.where(~(F.col("continued") & (F.col("line_no") == F.col("first_line")))))
     is_block = F.col("session").isNull() & F.col("chunk").isNull() & (F.col("delimited") == 1) & (F.col("size") >= 2)
-    return _line_events(items.where(~is_block & F.col("stamped"))).unionByName(_blocks(items.where(is_block & F.col("stamped")))).unionByName(_others(lines)).unionByName(_bare(items.where(~F.col("stamped")), lines))
+    return _line_events(items.where(~is_block & F.col("stamped"))).unionByName(_blocks(items.where(is_block & F.col("stamped")))).unionByName(_others(lines)).unionByName(_bare(items.where(~F.col("stamped"))))
 
 
 OUT = ["source_id", "line_start", "line_end", "text", "message", "wall", "offset", "ts_flag", "etype", "severity", "context", "context_kind", "context_label", "ids", "segment"]
@@ -206,12 +203,10 @@ def _others(lines: DataFrame) -> DataFrame:
     )
 
 
-def _bare(items: DataFrame, lines: DataFrame) -> DataFrame:
+def _bare(items: DataFrame) -> DataFrame:
     """Lines without a stamp that no open group takes, with the time of the stamped line before them."""
-    both = lines.select("source_id", "line_no", "wall").join(items.select("source_id", "line_no", F.lit(True).alias("_ask")), ["source_id", "line_no"], "left")
-    clock = carry_last(both, "source_id", "line_no", F.col("wall"), "clock").where("_ask").select("source_id", "line_no", "clock")
     none = F.lit(None).cast("string")
-    return items.join(clock, ["source_id", "line_no"]).select(
+    return items.select(
         "source_id", F.col("line_no").alias("line_start"), "line_end", "text", F.col("text").alias("message"), F.col("clock").alias("wall"), F.lit(None).cast("int").alias("offset"),
         F.when(F.col("clock").isNotNull(), "inherited").otherwise("none").alias("ts_flag"), F.lit("line").alias("etype"), F.lit(INFO).alias("severity"), none.alias("context"), none.alias("context_kind"), none.alias("context_label"),
         F.array().cast(f"array<{ID}>").alias("ids"), F.col("segment").cast("int").alias("segment"),

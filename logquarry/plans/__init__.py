@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, with their DuckDB counterparts."""
 
-from logquarry.plans import timeline
+from logquarry.plans import parsing, timeline
 
-_MODULES = (timeline,)
+_MODULES = (timeline, parsing)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

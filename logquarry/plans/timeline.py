@@ -1,17 +1,122 @@
-"""Timeline queries."""
+"""Timeline, bins, histograms, times and zones."""
 
 from pyspark.sql import functions as F
 
-BIN_MS = 600_000
+from logquarry.functions import times
+from logquarry.operators import search, timeline
+from logquarry.plans import tables
+from logquarry.plans.tables import EVENTS_SQL
 
 
 def time_bins(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return events.groupBy("event_type", F.floor(ms / BIN_MS).alias("bin")).agg(F.count("*").alias("n"))
+    events = tables.events(spark, sf_dir)
+    return events.groupBy("event_type", times.bin_of(F.col("ts_ms")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {"time_bins": time_bins}
+def severity_bins(spark, sf_dir):
+    return timeline.bins(tables.events(spark, sf_dir))
+
+
+def timeline_page(spark, sf_dir):
+    return search.page(tables.events(spark, sf_dir), 200, 50).select("event_id", "ts_ms", "event_type")
+
+
+def timeline_filtered(spark, sf_dir):
+    events = tables.events(spark, sf_dir)
+    return search.select_events(events, etypes=["error", "signup"], min_severity=1, time_from=1704100000000, time_to=1706000000000).select("event_id", "ts_ms", "event_type", "severity")
+
+
+def histogram_72(spark, sf_dir):
+    return timeline.histogram(tables.events(spark, sf_dir)).select("bucket", "start_ms", "bucket_ms", "n")
+
+
+def histogram_binned(spark, sf_dir):
+    return timeline.binned_histogram(timeline.bins(tables.events(spark, sf_dir)), min_severity=1)
+
+
+def source_summary(spark, sf_dir):
+    rows = tables.events(spark, sf_dir).withColumn("ts_flag", F.lit("local"))
+    out = timeline.source_summary(rows)
+    return out.select("source_id", "events", "first_ms", "last_ms", F.col("etypes")[F.col("source_id")].alias("typed"), F.col("time_flags")["local"].alias("local_times"))
+
+
+def overview(spark, sf_dir):
+    return timeline.overview(tables.events(spark, sf_dir))
+
+
+def capped_hits(spark, sf_dir):
+    return search.capped_count(tables.events(spark, sf_dir))
+
+
+def _walls(spark, sf_dir):
+    rows = tables.events(spark, sf_dir)
+    offset = F.when(F.col("event_id") % 5 == 0, F.lit(60)).cast("int")
+    flag = F.when(offset.isNotNull(), "exact").when(F.col("event_id") % 11 == 0, "inherited").otherwise("local")
+    return rows.select("event_id", "source_id", F.col("ts").alias("wall"), offset.alias("offset"), flag.alias("ts_flag"), "event_type")
+
+
+def _settings(rows):
+    """Per source: errors have a fixed zone, clicks a stated one and a skewed clock."""
+    kinds = rows.select("source_id").distinct()
+    is_ = lambda name: F.col("source_id") == name
+    return kinds.select(
+        "source_id",
+        F.when(is_("error"), "fixed").otherwise("auto").alias("tz_mode"),
+        F.when(is_("error"), 120).cast("int").alias("tz_offset"),
+        F.when(is_("click"), -300).cast("int").alias("detected_offset"),
+        F.when(is_("click"), 2000).otherwise(0).cast("long").alias("skew_ms"),
+    )
+
+
+def time_normalize(spark, sf_dir):
+    rows = _walls(spark, sf_dir)
+    return timeline.resolve(rows, _settings(rows), (None, "local"), "Europe/Berlin").select("event_id", "off_min", "ts_ms", "ts_flag")
+
+
+def zone_inference(spark, sf_dir):
+    rows = _walls(spark, sf_dir).where("source_id <> 'click'")
+    default = timeline.default_zone(timeline.stated_zones(rows, _settings(rows)))
+    return timeline.resolve(rows, _settings(rows), default).groupBy("source_id", "ts_flag", "off_min").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("sum_ms"))
+
+
+def formatted_times(spark, sf_dir):
+    rows = tables.events(spark, sf_dir).withColumn("off", ((F.col("user_id") % 5 - 2) * 90).cast("int"))
+    return rows.select("event_id", times.format_ms(F.col("ts_ms"), F.col("off")).alias("shown"), times.zone_text(F.col("off")).alias("zone"))
+
+
+_RESOLVED = """
+r AS (
+  SELECT event_id, event_type AS source_id, ts AS wall, CASE WHEN event_id % 5 = 0 THEN 60 END AS o,
+         CASE WHEN event_id % 5 <> 0 AND event_id % 11 = 0 THEN 'inherited' ELSE 'local' END AS f
+  FROM events
+)"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (time_bins, severity_bins, timeline_page, timeline_filtered, histogram_72, histogram_binned, source_summary, overview, capped_hits, time_normalize, zone_inference, formatted_times)
+}
 ORACLES = {
     "time_bins": "SELECT event_type, CAST(epoch_ms(ts) // 600000 AS BIGINT) AS bin, COUNT(*) AS n FROM events GROUP BY 1, 2",
+    "severity_bins": f"WITH {EVENTS_SQL} SELECT event_type AS source_id, ts_ms // 600000 AS bin, severity, COUNT(*) AS n FROM ev GROUP BY ALL",
+    "timeline_page": f"WITH {EVENTS_SQL} SELECT event_id, ts_ms, event_type FROM ev ORDER BY ts_ms, event_type, event_id LIMIT 200 OFFSET 50",
+    "timeline_filtered": f"WITH {EVENTS_SQL} SELECT event_id, ts_ms, event_type, severity FROM ev WHERE event_type IN ('error', 'signup') AND ts_ms BETWEEN 1704100000000 AND 1706000000000",
+    "histogram_72": f"""WITH {EVENTS_SQL}, b AS (SELECT min(ts_ms) AS lo, greatest(1000, (max(ts_ms) - min(ts_ms) + 72) // 72) AS size FROM ev)
+SELECT (ts_ms - lo) // size AS bucket, lo + (ts_ms - lo) // size * size AS start_ms, size AS bucket_ms, COUNT(*) AS n FROM ev, b GROUP BY ALL""",
+    "histogram_binned": f"""WITH {EVENTS_SQL}, t AS (SELECT ts_ms // 600000 AS bin, COUNT(*) AS n FROM ev GROUP BY ALL),
+b AS (SELECT min(bin) * 600000 AS lo, greatest(600000, (((max(bin) - min(bin) + 1) * 600000 + 71) // 72 + 599999) // 600000 * 600000) AS size FROM t)
+SELECT (bin * 600000 - lo) // size AS bucket, lo + (bin * 600000 - lo) // size * size AS start_ms, size AS bucket_ms, CAST(SUM(n) AS BIGINT) AS n FROM t, b GROUP BY ALL""",
+    "source_summary": f"WITH {EVENTS_SQL} SELECT event_type AS source_id, COUNT(*) AS events, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, COUNT(*) AS typed, COUNT(*) AS local_times FROM ev GROUP BY 1",
+    "overview": f"WITH {EVENTS_SQL} SELECT event_type AS etype, COUNT(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM ev GROUP BY 1",
+    "capped_hits": "SELECT least(COUNT(*), 100001) AS hits FROM events",
+    "time_normalize": f"""WITH {_RESOLVED}, z AS (
+  SELECT *, CASE WHEN o IS NOT NULL THEN o WHEN source_id = 'error' THEN 120 WHEN source_id = 'click' THEN -300
+    WHEN wall >= TIMESTAMP '2024-03-31 02:00:00' AND wall < TIMESTAMP '2024-10-27 03:00:00' THEN 120 ELSE 60 END AS off_min FROM r)
+SELECT event_id, off_min, CAST(floor(epoch_us(wall) / 1000) AS BIGINT) - off_min * 60000 + CASE WHEN source_id = 'click' THEN 2000 ELSE 0 END AS ts_ms,
+  CASE WHEN f = 'inherited' THEN f WHEN o IS NOT NULL THEN 'exact' WHEN source_id IN ('error', 'click') THEN 'source' ELSE 'local' END AS ts_flag FROM z""",
+    "zone_inference": f"""WITH {_RESOLVED}, z AS (SELECT *, coalesce(o, CASE WHEN source_id = 'error' THEN 120 ELSE 60 END) AS off_min FROM r WHERE source_id <> 'click')
+SELECT source_id, CASE WHEN f = 'inherited' THEN f WHEN o IS NOT NULL THEN 'exact' WHEN source_id = 'error' THEN 'source' ELSE 'inferred' END AS ts_flag, off_min,
+  COUNT(*) AS n, CAST(SUM(CAST(floor(epoch_us(wall) / 1000) AS BIGINT) - off_min * 60000) AS BIGINT) AS sum_ms FROM z GROUP BY ALL""",
+    "formatted_times": f"""WITH {EVENTS_SQL}, z AS (SELECT event_id, ts_ms, (user_id % 5 - 2) * 90 AS off FROM ev)
+SELECT event_id, strftime(make_timestamp((ts_ms + off * 60000) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS shown,
+  CASE WHEN off < 0 THEN '-' ELSE '+' END || printf('%02d', abs(off) // 60) || ':' || printf('%02d', abs(off) % 60) AS zone FROM z""",
 }

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -49,3 +49,9 @@ def checkpoint_ready(spark: SparkSession) -> SparkSession:
     if not context.getCheckpointDir():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logquarry-checkpoints-"))
     return spark
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, with its lineage cut by a checkpoint in the shared folder."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()
