@@ -27,6 +27,10 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(folded(text), r"[^\p{L}\p{N}]+"), ""))
 
 
+def _any_starts(words: Column, want: Column) -> Column:
+    return F.exists(words, lambda word: word.startswith(want))
+
+
 def text_matches(text: Column, query: str) -> Column:
     """Every word must occur; a trailing ``*`` asks for a prefix; a word with punctuation must also occur as written."""
     found, condition = tokens(text), F.lit(True)
@@ -37,7 +41,7 @@ def text_matches(text: Column, query: str) -> Column:
         for k, part in enumerate(parts):
             want = folded(F.lit(part))
             last = prefix and k == len(parts) - 1
-            condition = condition & (F.exists(found, lambda t, want=want: t.startswith(want)) if last else F.array_contains(found, want))
+            condition = condition & (_any_starts(found, want) if last else F.array_contains(found, want))
         if re.search(r"[^\w*]", plain) or not parts:
             condition = condition & F.lower(text).contains(plain.lower())
     return condition
