@@ -1 +1 @@
-
+"""Live logs: the batch parsers on streams of lines."""

@@ -144,3 +144,54 @@ def test_export(spark):
 def test_text_search(spark, query, hits):
     df = spark.createDataFrame([("SELECT INBOX",), ("Authenticated as x",), ("GET /?View=Main&x",)], "text string")
     assert df.where(search.text_matches(F.col("text"), query)).count() == hits
+
+
+def test_workspace(spark, tmp_path):
+    from logquarry.operators.workspace import SOURCES, Workspace
+
+    space = Workspace(spark, f"file://{tmp_path}", "case-1")
+    sources = spark.createDataFrame([("a", "a.log", "pipe", "utf-8", "A", 1, None, "auto", None, 0), ("b", "b.log", "pipe", "utf-8", "B", 1, None, "auto", None, 0)], SOURCES)
+    events = spark.sql("SELECT CAST(id AS LONG) AS event_id, IF(id < 3, 'a', 'b') AS source_id, TIMESTAMP_NTZ'2024-01-01 10:00:00' AS wall, IF(id = 1, 60, CAST(NULL AS INT)) AS offset, IF(id = 1, 'exact', 'local') AS ts_flag, CAST(NULL AS STRING) AS ctx FROM range(1, 6)")
+    occ = spark.sql("SELECT CAST(id AS LONG) AS event_id, 'account' AS kind, IF(id < 3, 'x', 'y') AS value, '' AS role, '' AS display FROM range(1, 6)")
+    space.add(sources, events, occ)
+    space.add(sources, events, occ)
+    assert space.events().count() == 5
+    assert {r["ts_flag"] for r in space.events().collect()} == {"exact", "inferred"}
+    space.set_time("b", 120, 2000)
+    late = space.events().where("source_id = 'b'").first()
+    assert late["ts_flag"] == "source" and late["ts_ms"] == 1704103200000 - 7_200_000 + 2000
+    space.decide("exclude", ("account", "x"))
+    assert space.decisions("exclude").count() == 1
+    space.decide("exclude", ("account", "x"), undo=True)
+    assert space.decisions("exclude").count() == 0
+    space.remove("a")
+    assert [r["value"] for r in space.entities().collect()] == ["y"]
+    with pytest.raises(ValueError):
+        Workspace(spark, "x", "../up")
+
+
+def test_store(spark, tmp_path):
+    from logquarry.operators import store
+
+    entries = spark.createDataFrame([("IPv4", "203.0.113.7", "[IPv4-001]"), ("Person", "Erika Beispiel", "[PERSON-001]")], store.ENTRIES)
+    data = store.to_dict(entries, ["term"])
+    path = tmp_path / "store.json"
+    store.save(spark, path, data, "a long password")
+    store.save(spark, path, data, "a long password")
+    assert store.load(spark, path, "a long password") == data and (tmp_path / "store.json.1.bak").exists()
+    assert store.describe(spark, path)["readable"] is False and store.needs_password(path)
+    assert {r["folded"] for r in store.from_dict(spark, data).collect()} == {"203.0.113.7", "erika beispiel"}
+    with pytest.raises(store.StoreError):
+        store.load(spark, path, "another password")
+
+
+def test_streaming(spark, tmp_path):
+    from logquarry.streaming import live
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("2026-10-21 15:40:43 | WARNING | x\n2026-10-21 15:41:43 | INFO | y\nno stamp\n2026-10-21 15:51:43 | INFO | z\n")
+    events = live.stamped_events(live.read_lines(spark, str(tmp_path / "in")), "pipe")
+    query = live.live_bins(events).writeStream.outputMode("complete").format("memory").queryName("live_bins").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r["start"].minute, r["severity"], r["n"]) for r in spark.table("live_bins").collect()) == [(40, 1, 1), (40, 2, 1), (50, 1, 1)]
