@@ -195,3 +195,18 @@ def test_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["start"].minute, r["severity"], r["n"]) for r in spark.table("live_bins").collect()) == [(40, 1, 1), (40, 2, 1), (50, 1, 1)]
+
+
+def test_written_files(spark, tmp_path):
+    from logquarry.operators import writing
+    from logquarry.sources.lines import lines_of
+
+    texts = spark.createDataFrame([("logs/a.log", "x 203.0.113.7\r\ny\nz\r"), ("b.txt", "203.0.113.7")], "path string, text string")
+    found = masking.segmented(lines_of(texts, "path", F.col("text")), masking.Options())
+    masked = masking.masked(found, masking.dictionary(masking.keys(found)))
+    out = writing.masked_files(masked, writing.line_endings(texts, "path", "text"))
+    folder = f"file://{tmp_path}/out"
+    assert {r["output_name"]: r["bytes"] for r in writing.write_files(out, folder).collect()} == {"a.anonym.log": 18, "b.anonym.txt": 10}
+    assert (tmp_path / "out" / "a.anonym.log").read_bytes() == b"x [IPv4-001]\r\ny\nz\r"
+    with pytest.raises(ValueError):
+        writing.write_files(out, folder)
