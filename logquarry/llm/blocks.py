@@ -83,19 +83,19 @@ def sorted_codes(where: dict, codes: list[np.ndarray], as_bytes: Callable = byte
     return [words[k] for k in order], rank[np.concatenate(codes)] if words else rank
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, list, list[str]]]:
     """(block, ids, texts) of the rows of one partition; null texts become empty.
 
     Block numbers hold the partition's number, so they are unique in a job.
     """
-    first = TaskContext.get().partitionId() << 32
+    first, most = TaskContext.get().partitionId() << 32, most or BLOCK_CHARS
     ids: list = []
     texts: list[str] = []
     size = 0
     for batch in batches:
         for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             text = text or ""
-            if ids and size + len(text) > BLOCK_CHARS:
+            if ids and size + len(text) > most:
                 yield first, ids, texts
                 first, ids, texts, size = first + 1, [], [], 0
             ids.append(i)
