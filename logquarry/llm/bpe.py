@@ -103,7 +103,9 @@ def _visible() -> dict[int, str]:
 
 def word_ids(model, word: str) -> list[int]:
     """Ids of one word of a byte-level tokenizer, by the library's model alone: the word is split off already."""
-    return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_visible()))]
+    if not (word.isascii() and word.isprintable() and " " not in word):
+        word = word.encode().decode("latin-1").translate(_visible())
+    return [t.id for t in model.tokenize(word)]
 
 
 def _is_special(key: str, special: set[str]) -> bool:

@@ -15,6 +15,7 @@ documents with their lengths.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import posixpath
 import re
@@ -31,7 +32,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logquarry.llm.blocks import Codes
 from logquarry.llm.bpe import gather, load, word_ids
 from logquarry.llm.shared import id_and_text, parts, shared_path, table, written
 
@@ -40,8 +40,9 @@ CHUNK_IDS = 1 << 16
 #: Ids after which a new file is begun.
 FILE_IDS = 1 << 22
 END_ID = 2
-#: Words in a generation of those whose ids a Python worker remembers.
-REMEMBERED = 250_000
+#: Words in a generation of those whose ids a Python worker remembers, and pieces of words.
+REMEMBERED = 300_000
+REMEMBERED_PIECES = 600_000
 SLICE_CHARS = 4_000_000
 
 
@@ -52,7 +53,7 @@ def default_vocabulary() -> str:
 
 
 #: The split of the lower-case word tokenizer, for words of ASCII and Latin letters, where it means what the library's pattern means.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:\W|_)+").findall
+_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+").findall
 _LATIN = re.compile("[\x00-\x1b\x21-\x7f\xc0-\u012f\u0131-\u024f]*").fullmatch
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
@@ -72,7 +73,7 @@ class WordEncoder:
         self.tokenizer = load(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.piece_ids = {"\n": 0}, [b""]
         form = json.loads(self.tokenizer.to_str())
         pieces = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         self.known_form = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and pieces.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
@@ -80,56 +81,68 @@ class WordEncoder:
 
     def _new(self, words: list[bytes]) -> list[bytes]:
         """The ids, as bytes, of words that aren't remembered."""
-        out: list[bytes | None] = []
-        model, pieces = self.tokenizer.model, self.pieces
-        if len(pieces) > REMEMBERED:
-            pieces.clear()
-        for word in map(bytes.decode, words):
-            if not self.known_form or not _LATIN(word) or any(s in word for s in self.special):
-                out.append(None)
-                continue
-            ids = []
-            for piece in _PIECES(word.lower()):
-                got = pieces.get(piece)
-                if got is None:
-                    got = pieces[piece] = array("I", word_ids(model, piece)).tobytes()
-                ids.append(got)
-            out.append(b"".join(ids))
-        other = [k for k, x in enumerate(out) if x is None]
-        for k, e in zip(other, self.tokenizer.encode_batch([words[k].decode() for k in other], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, np.uint32).tobytes()
+        out: list[bytes] = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            if self._is_plain(b"\n".join(some).decode()):
+                out += self._split(some)
+            elif self.known_form:
+                plain = [self._is_plain(w.decode()) for w in some]
+                split = iter(self._split([w for w, p in zip(some, plain, strict=True) if p]))
+                whole = iter(self._whole([w for w, p in zip(some, plain, strict=True) if not p]))
+                out += [next(split) if p else next(whole) for p in plain]
+            else:
+                out += self._whole(some)
         return out
 
+    def _is_plain(self, text: str) -> bool:
+        return self.known_form and _LATIN(text) is not None and not any(s in text for s in self.special)
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _split(self, words: list[bytes]) -> list[bytes]:
+        """Plain words by their pieces; all words are split in one go, a line feed between them."""
+        if not words:
+            return []
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces, self.piece_ids = {"\n": 0}, [b""]
+        found = _PIECES(b"\n".join(words).decode().lower())
+        fresh = [p for p in dict.fromkeys(found) if p not in self.pieces]
+        self.pieces.update(zip(fresh, itertools.count(len(self.pieces))))
+        model = self.tokenizer.model
+        self.piece_ids += [array("I", word_ids(model, p)).tobytes() for p in fresh]
+        codes = list(map(self.pieces.__getitem__, found))
+        parts = list(map(self.piece_ids.__getitem__, codes))
+        raw, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        cuts = [0, *ends[np.flatnonzero(np.array(codes) == 0)].tolist(), len(raw)]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
     def _look_up(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as bytes."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    missing.append(w)
+        missing = [w for w in words if w not in young]
+        young.update((w, old[w]) for w in missing if w in old)
+        missing = [w for w in missing if w not in old]
         young.update(zip(missing, self._new(missing), strict=True))
-        return [young[w] for w in words]
+        return list(map(young.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
-        where, codes = Codes(), []
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").split()
-            codes.append(np.fromiter(map(where.__getitem__, words), np.uint32, len(words)))
+        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
+        every = list(itertools.chain.from_iterable(split))
+        where = dict(zip(dict.fromkeys(every), itertools.count()))
         found = self._look_up(list(where))
-        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        every = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        each = lengths[every]
+        codes = np.fromiter(map(where.__getitem__, every), np.uint32, len(every))
+        each = lengths[codes]
         sums = np.concatenate([[0], np.cumsum(each)])
-        ends = sums[np.cumsum([len(c) for c in codes], dtype=np.int64)]
-        return (gather(flat, starts[every], each) if len(every) else flat[:0]), np.diff(ends, prepend=0)
+        ends = sums[np.cumsum(list(map(len, split)), dtype=np.int64)]
+        return (gather(flat, (np.cumsum(lengths) - lengths)[codes], each) if every else flat[:0]), np.diff(ends, prepend=0)
 
 
 @functools.lru_cache(1)
@@ -285,17 +298,22 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "content").mapInArrow(run, "part int, seq int, at int, doc_id long, first long, ids array<long>")
 
 
-def _checksums(tokens: DataFrame) -> DataFrame:
+def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """Like ``read_tokens``, with ``n_tokens`` and ``ids_crc32`` (of little-endian 32-bit ids) in place of the ids, which stay in the task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch["ids"]
-            flat = column.flatten().to_numpy().astype("<u4")
-            lengths = column.value_lengths().to_numpy().astype(np.int64)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["part"], batch["seq"], batch["doc_id"], batch["first"], pa.array(lengths), pa.array(sums, pa.int64())], ["part", "seq", "doc_id", "first", "n_tokens", "ids_crc32"])
+            for name, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
+                file = TokenFile(content.as_py())
+                raw = file.read(0, file.n_ids).astype("<u4").tobytes()
+                ends = np.concatenate([[0], np.cumsum(file.lengths)])
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                part, seq = (int(x) for x in name.rsplit("/", 1)[1][5:-6].split("-"))
+                n = len(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(file.doc_ids, pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(file.lengths), pa.array(sums, pa.int64())], ["part", "seq", "doc_id", "first", "n_tokens", "ids_crc32"])
 
-    return tokens.mapInArrow(run, "part int, seq int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.lqids").load(folder)
+    return found.select("path", "content").mapInArrow(run, "part int, seq int, doc_id long, first long, n_tokens long, ids_crc32 long")
 
 
 def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +321,7 @@ def op2_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_tokens(table(spark, sf_dir, "documents"), folder)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    sums = _checksums(read_tokens(spark, folder))
+    sums = read_checksums(spark, folder)
     return sums.join(file_starts(files), ["part", "seq"]).select("doc_id", (F.col("file_start") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
