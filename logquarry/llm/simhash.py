@@ -211,6 +211,16 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         before = state
 
 
+def named(marks: DataFrame, distinct: DataFrame, comp: DataFrame) -> DataFrame:
+    """``marks`` with the smallest id of their component; ``distinct`` has each ``fp`` with its ``first_id``, ``comp`` its ``root`` where it has links."""
+    every = distinct.join(comp, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    roots = every.where("root <> fp").groupBy("root").agg(F.min("first_id").alias("id")).toDF("root", "other_id")
+    every = every.join(roots, "root", "left")
+    own = every.where("root = fp").select("root", F.least("first_id", "other_id").alias("component_id"))
+    classes = every.where("root <> fp").select("fp", "root").join(own, "root").select("fp", "component_id").union(own.select(F.col("root").alias("fp"), "component_id"))
+    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` for each input row.
 
@@ -224,21 +234,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     n = distinct.count()
     comp = components(_shard_links(distinct.select("fp"), n).repartition(parts(docs.sparkSession)), "simhash-links").toDF("fp", "root")
-    named = distinct.join(comp, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    roots = named.where("root <> fp").groupBy("root").agg(F.min("first_id").alias("id")).toDF("root", "other_id")
-    named = named.join(roots, "root", "left")
-    own = named.where("root = fp").select("root", F.least("first_id", "other_id").alias("component_id"))
-    classes = named.where("root <> fp").select("fp", "root").join(own, "root").select("fp", "component_id").union(own.select(F.col("root").alias("fp"), "component_id"))
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named(marks, distinct, comp)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id.
 
-    All columns stay. Rows that share a doc id count as copies; rows without an
+    ``find`` gives the groups. All columns stay. Rows that share a doc id count as copies; rows without an
     id are kept, as nothing names them.
     """
-    found = written(near_duplicates(docs, id_col, text_col), "simhash-classes")
+    found = written(find(docs, id_col, text_col), "simhash-classes")
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(bounded(written(gone, "simhash-gone"), BROADCAST_IDS), id_col, "left_anti")
     twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
