@@ -102,9 +102,22 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain an item; all columns stay."""
+    """``docs`` without the documents that contain an item; all columns stay.
+
+    Items without an id count like others. Rows that repeat an id count as one
+    document; rows without an id are judged each by itself, by a key that is
+    written once.
+    """
+    items = written(items.select(F.monotonically_increasing_id().alias("item_id"), F.col("text").cast("string").alias("text")), "decontaminate-benchmark")
     found = contained_items(docs, items, id_col, text_col).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bounded(written(found, "decontaminate-ids"), BROADCAST_IDS), id_col, "left_anti")
+    kept = docs.join(bounded(written(found, "decontaminate-ids"), BROADCAST_IDS), id_col, "left_anti")
+    nameless = docs.where(F.col(id_col).isNull())
+    if nameless.isEmpty():
+        return kept
+    rows = written(nameless.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-nameless")
+    held = written(contained_items(rows, items, "_row", text_col).select(F.col("doc_id").alias("_row")).distinct(), "decontaminate-rows")
+    clean = rows.join(bounded(held, BROADCAST_IDS), "_row", "left_anti")
+    return kept.where(F.col(id_col).isNotNull()).unionByName(clean.drop("_row"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
