@@ -132,7 +132,8 @@ def context(word: str) -> str:
     return shape(word)
 
 
-TRIGGER = re.compile(r"[0-9@+=\"]")
+#: Also brackets and long runs of hexadecimal letters, as features of their own.
+TRIGGER = re.compile(r"[\d@+=\"()]|[A-Fa-f]{20}")
 
 
 # The labelled table
@@ -208,8 +209,8 @@ class Field:
         self.zero = np.zeros(len(LABELS))
         self.seen: dict[str, tuple] = {}
         gains = 2 * (self.moves.max() - self.moves[self.moves > NONE / 2].min())
-        worst = min((self.emission("plain") + a + b) @ margin for margin in self._margins() for a in self._sides(self.left) for b in self._sides(self.right))
-        #: Whether a word without a trigger is outside every span, whatever stands beside it.
+        worst = min(min((own + a + b) @ margin for own in self._plain() for a in self._sides(self.left) for b in self._sides(self.right)) for margin in self._margins())
+        #: Whether a word without a trigger is outside every span where the words beside it have none either, as at a window's end.
         self.windowed = worst > gains
 
     def _margins(self) -> Iterator[np.ndarray]:
@@ -218,8 +219,14 @@ class Field:
             step[0], step[k] = 1, -1
             yield step
 
+    def _plain(self) -> list[np.ndarray]:
+        """The emissions of all sets of features that a word without a trigger can have."""
+        shapes = [self.zero, *(w for f, w in self.own.items() if f.startswith("shape=") and not re.search(r"[d@+=\"()]", f[6:]))]
+        fixed = sum((self.own.get(f, self.zero) for f in ("bias", "digits=0", "pure=False,0")), self.zero)
+        return [fixed + a for a in shapes]
+
     def _sides(self, table_: dict) -> list[np.ndarray]:
-        return [table_.get(c, self.zero) for c in ("plain", "sign", "=")]
+        return [self.zero, *(table_.get(c, self.zero) for c in ("plain", "sign"))]
 
     def emission(self, word: str) -> np.ndarray:
         return self.word(word)[0]
@@ -360,6 +367,7 @@ def windows_of(text: str, windowed: bool) -> list[list[tuple[int, int]]]:
     for m in TRIGGER.finditer(text):
         # Widen to REACH words either way; words are bounded by white space.
         if runs and m.start() < runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], _widen(text, m.start(), 1))
             continue
         low, high = _widen(text, m.start(), -1), _widen(text, m.start(), 1)
         if runs and low <= runs[-1][1]:
