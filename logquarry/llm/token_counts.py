@@ -28,7 +28,7 @@ def token_lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
         encoder = word_encoder(path)
         for batch in batches:
             for some in slices(batch):
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(encoder.encode(some["text"].to_pylist())[1], pa.int64())], ["doc_id", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(encoder.encode(some["text"])[1], pa.int64())], ["doc_id", "n_tokens"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 

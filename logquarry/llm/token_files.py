@@ -15,13 +15,11 @@ documents with their lengths.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import posixpath
-import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +38,11 @@ CHUNK_IDS = 1 << 16
 #: Ids after which a new file is begun.
 FILE_IDS = 1 << 22
 END_ID = 2
-#: Words in a generation of those whose ids a Python worker remembers, and pieces of words.
-REMEMBERED = 300_000
-REMEMBERED_PIECES = 600_000
+#: Pieces, and whole words beyond Latin text, whose ids a Python worker remembers; then it begins anew.
+REMEMBERED = 600_000
 SLICE_CHARS = 4_000_000
+#: Bytes of text that a range of document ids should hold.
+RANGE_BYTES = 128 << 20
 
 
 def default_vocabulary() -> str:
@@ -52,97 +51,111 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: The split of the lower-case word tokenizer, for words of ASCII and Latin letters, where it means what the library's pattern means.
-_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+").findall
-_LATIN = re.compile("[\x00-\x1b\x21-\x7f\xc0-\u012f\u0131-\u024f]*").fullmatch
+#: The lower-case word tokenizers' form.
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a byte of a plain word is: part of a letter, a digit or anything else.
+LETTER, DIGIT, OTHER = 0, 1, 2
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = LETTER
+_CLASS[ord("0") : ord("9") + 1] = DIGIT
 
 
-class WordEncoder:
-    """Encodes texts for tokenizers that drop white space, word by word, and remembers recent words.
+def plain_words(words: pa.Array) -> np.ndarray:
+    """Mask of the words whose pieces are runs of letters, digits and runs of others.
+
+    They hold ASCII and the letters U+00C0 to U+024F, but no apostrophe (which
+    opens endings), no special token, no separator below the space, neither
+    multiplication nor division sign, and no dotted capital I.
+    """
+    starts, data = _bytes_of(words)
+    after = np.append(data[1:], np.uint8(0))
+    odd = (data == 0x27) | ((data >= 0x1C) & (data < 0x20)) | ((data >= 0xC0) & ((data < 0xC3) | (data > 0xC9))) | ((data == 0xC9) & (after > 0x8F))
+    odd |= ((data == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((data == 0xC4) & (after == 0xB0)) | ((data == ord("<")) & (after == ord("|")))
+    return np.diff(np.concatenate([[0], np.cumsum(odd)])[starts]) == 0
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins (and the last one ends) and the bytes of all."""
+    starts = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = words.buffers()[2]
+    return starts - starts[0], np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data and data.size else np.zeros(0, np.uint8)
 
-    For the usual lower-case tokenizer, words of Latin letters are split here
-    and only their distinct pieces go to the library's model; other words, and
-    all words of other tokenizers, go through the whole library.
 
-    Two generations of words are kept: when the younger one is full it becomes
-    the older one, and words asked for again move up.
+class WordEncoder:
+    """Encodes texts for tokenizers that drop white space.
+
+    Arrow splits a slice of texts into words and finds the distinct ones. For
+    the usual lower-case tokenizer, it also splits distinct words of Latin
+    letters into pieces, and only distinct pieces that aren't remembered go to
+    the library's model; other words, and all words of other tokenizers, go
+    through the whole library.
     """
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.pieces, self.piece_ids = {"\n": 0}, [b""]
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         form = json.loads(self.tokenizer.to_str())
         pieces = ((form["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
-        self.known_form = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and pieces.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
-        self.special = [t["content"] for t in form["added_tokens"]]
-
-    def _new(self, words: list[bytes]) -> list[bytes]:
-        """The ids, as bytes, of words that aren't remembered."""
-        out: list[bytes] = []
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            if self._is_plain(b"\n".join(some).decode()):
-                out += self._split(some)
-            elif self.known_form:
-                plain = [self._is_plain(w.decode()) for w in some]
-                split = iter(self._split([w for w, p in zip(some, plain, strict=True) if p]))
-                whole = iter(self._whole([w for w, p in zip(some, plain, strict=True) if not p]))
-                out += [next(split) if p else next(whole) for p in plain]
-            else:
-                out += self._whole(some)
-        return out
-
-    def _is_plain(self, text: str) -> bool:
-        return self.known_form and _LATIN(text) is not None and not any(s in text for s in self.special)
-
-    def _whole(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        self.known_form = [n["type"] for n in (form["normalizer"] or {}).get("normalizers", [])] == _NORMALIZERS and pieces.get("pattern") == {"Regex": _PATTERN}
+        # Words that hold "<|" aren't plain; a vocabulary with other special tokens goes through the library.
+        self.known_form &= all(t["content"].startswith("<|") for t in form["added_tokens"])
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _split(self, words: list[bytes]) -> list[bytes]:
-        """Plain words by their pieces; all words are split in one go, a line feed between them."""
-        if not words:
-            return []
-        if len(self.pieces) > REMEMBERED_PIECES:
-            self.pieces, self.piece_ids = {"\n": 0}, [b""]
-        found = _PIECES(b"\n".join(words).decode().lower())
-        fresh = [p for p in dict.fromkeys(found) if p not in self.pieces]
-        self.pieces.update(zip(fresh, itertools.count(len(self.pieces))))
+    def _model(self, pieces: list[str]) -> list[bytes]:
         model = self.tokenizer.model
-        self.piece_ids += [array("I", word_ids(model, p)).tobytes() for p in fresh]
-        codes = list(map(self.pieces.__getitem__, found))
-        parts = list(map(self.piece_ids.__getitem__, codes))
-        raw, ends = b"".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        cuts = [0, *ends[np.flatnonzero(np.array(codes) == 0)].tolist(), len(raw)]
-        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
-
-    def _look_up(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as bytes."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = [w for w in words if w not in young]
-        young.update((w, old[w]) for w in missing if w in old)
-        missing = [w for w in missing if w not in old]
-        young.update(zip(missing, self._new(missing), strict=True))
-        return list(map(young.__getitem__, words))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return [array("I", word_ids(model, p)).tobytes() for p in pieces]
+
+    def _looked_up(self, keys: pa.Array, known: dict[str, bytes], make: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct keys, one after the other, and the number of ids of each."""
+        if len(known) > REMEMBERED:
+            known.clear()
+        names = keys.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, names))
+        missing = [k for k, x in enumerate(found) if x is None]
+        fresh = [names[k] for k in missing]
+        for k, name, x in zip(missing, fresh, make(fresh), strict=True):
+            found[k] = known[name] = x
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Like ``_looked_up``, by the words' pieces."""
+        low = pa.compute.utf8_lower(words)
+        starts, data = _bytes_of(low)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(words), np.int64)
+        kinds = _CLASS[data]
+        heads = np.concatenate([[True], (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)])
+        heads[starts[:-1][np.diff(starts) > 0]] = True
+        cuts = np.append(np.flatnonzero(heads), len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        flat, lengths = self._looked_up(coded.dictionary, self.pieces, self._model)
+        codes = coded.indices.to_numpy()
+        each = lengths[codes]
+        sums, before = np.concatenate([[0], np.cumsum(each)]), np.concatenate([[0], np.cumsum(heads)])
+        return gather(flat, (np.cumsum(lengths) - lengths)[codes], each), np.diff(sums[before[starts]])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
-        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
-        every = list(itertools.chain.from_iterable(split))
-        where = dict(zip(dict.fromkeys(every), itertools.count()))
-        found = self._look_up(list(where))
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        codes = np.fromiter(map(where.__getitem__, every), np.uint32, len(every))
+        split = pa.compute.ascii_split_whitespace(pa.compute.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        where = plain_words(words) if self.known_form else np.zeros(len(words), bool)
+        flat, lengths = self._plain(words.filter(pa.array(where)))
+        others, sizes = self._looked_up(words.filter(pa.array(~where)), self.words, self._whole)
+        # Plain words' ids come first in ``flat``, then the others'.
+        flat, sizes = np.concatenate([flat, others]), np.concatenate([lengths, sizes])
+        order = np.concatenate([np.flatnonzero(where), np.flatnonzero(~where)])
+        lengths, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
+        codes, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
         each = lengths[codes]
         sums = np.concatenate([[0], np.cumsum(each)])
-        ends = sums[np.cumsum(list(map(len, split)), dtype=np.int64)]
-        return (gather(flat, (np.cumsum(lengths) - lengths)[codes], each) if every else flat[:0]), np.diff(ends, prepend=0)
+        return gather(flat, starts[codes], each), np.diff(sums[ends - ends[0]])
 
 
 @functools.lru_cache(1)
@@ -252,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
         for batch in batches:
             for some in slices(batch):
-                ids, lengths = encoder.encode(some["text"].to_pylist())
+                ids, lengths = encoder.encode(some["text"])
                 # The end id goes behind each document.
                 ids = np.insert(ids, np.cumsum(lengths), end_id).astype(np.uint32)
                 held.append((some["doc_id"].to_pylist(), lengths + 1, ids))
@@ -261,7 +274,9 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         if held:
             yield flush()
 
-    ordered = id_and_text(docs, id_col, text_col).repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    docs = id_and_text(docs, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = docs.repartitionByRange(max(parts(docs.sparkSession), size // RANGE_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, path string"), "token-files")
 
 
