@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.shared import BROADCAST_IDS, bounded, id_and_text, parts, table, written
+from logquarry.llm.shared import BROADCAST_IDS, bounded, id_and_text, parts, scratch, shared_path, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -243,7 +243,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     ``find`` gives the groups. All columns stay. Rows that share a doc id count as copies; rows without an
     id are kept, as nothing names them.
     """
-    found = written(find(docs, id_col, text_col), "simhash-classes")
+    spark = docs.sparkSession
+    classes = shared_path(spark, "simhash-classes")
+    with scratch(spark):
+        find(docs, id_col, text_col).write.option("compression", "zstd").parquet(classes)
+    found = spark.read.schema("doc_id long, fp long, component_id long").parquet(classes)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = docs.join(bounded(written(gone, "simhash-gone"), BROADCAST_IDS), id_col, "left_anti")
     twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(id_col))
