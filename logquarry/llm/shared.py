@@ -17,20 +17,22 @@ BROADCAST_ROWS = 200_000
 BROADCAST_IDS = 1_000_000
 #: The paths written inside each open ``scratch``.
 _scratch: list[list[str]] = []
+#: Temporary folders of local sessions, by application.
+_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
     Where the setting is missing and driver and executors are one process (as in
-    tests), a temporary folder is made and put into the session.
+    tests), a temporary folder is made once for the application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="logquarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _folders.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="logquarry-shared-")
+        _folders[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
