@@ -25,6 +25,13 @@ def wall_time(year: Column, month: Column, day: Column, hour: Column, minute: Co
     return F.when(second.cast("int") < 60, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).cast("timestamp_ntz"))
 
 
+def stamp(day: Column, clock: Column) -> Column:
+    """The wall time of a day, year first with or without separators, and a clock such as 15:40:43.971."""
+    digits = F.translate(day, "-/", "")
+    part = lambda text, k, n: F.substring(text, k, n)
+    return wall_time(part(digits, 1, 4), part(digits, 5, 2), part(digits, 7, 2), part(clock, 1, 2), part(clock, 4, 2), part(clock, 7, 2), part(clock, 10, 6))
+
+
 def offset_minutes(zone: Column) -> Column:
     """Minutes east of UTC for ``Z``, ``+hh:mm`` or ``+hhmm``; null for other texts."""
     text = F.trim(zone)

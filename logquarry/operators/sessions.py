@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import times
 from logquarry.functions.running import carry_last, running
 from logquarry.operators import rules
-from logquarry.operators.formats import EVENT_LOG, EVENT_LOG_HEADER
+from logquarry.operators.formats import EVENT_LOG, is_event_log_head
 from logquarry.operators.rules import DETAIL, ID, INFO
 from logquarry.session import settled
 
@@ -44,8 +44,8 @@ def _items(lines: DataFrame) -> DataFrame:
     """Stamped lines without their prefixes, with context and role of each line."""
     text = F.col("text")
     group = lambda k: F.regexp_extract(text, EVENT_LOG, k)
-    lines = lines.withColumn("stamped", text.rlike(EVENT_LOG)).withColumn("wall", F.when(F.col("stamped"), times.wall_time(*[group(k) for k in range(1, 8)])))
-    lines = lines.withColumn("message", F.when(F.col("stamped"), F.regexp_replace(group(8), _CODE, "")))
+    lines = lines.withColumn("stamped", text.rlike(EVENT_LOG)).withColumn("wall", F.when(F.col("stamped"), times.stamp(group(1), group(2))))
+    lines = lines.withColumn("message", F.when(F.col("stamped"), F.regexp_replace(group(3), _CODE, "")))
     lines = lines.withColumn("level", rules.level_severity(F.nullif(F.regexp_extract("message", _LEVEL_ID, 1), F.lit("")))).withColumn("worker", F.nullif(F.regexp_extract("message", _LEVEL_ID, 2), F.lit("")))
     lines = lines.withColumn("message", F.regexp_replace("message", _LEVEL_ID, ""))
     lines = lines.withColumn("job", F.nullif(F.regexp_extract("message", _JOB, 1), F.lit(""))).withColumn("request", F.nullif(F.regexp_extract("message", _REQUEST, 1), F.lit("")))
@@ -55,7 +55,7 @@ def _items(lines: DataFrame) -> DataFrame:
         "role",
         F.when(~F.col("stamped") & text.startswith("START Event Log"), "start")
         .when(~F.col("stamped") & text.rlike(_SHUTDOWN), "shutdown")
-        .when(~F.col("stamped") & text.rlike(EVENT_LOG_HEADER), "header")
+        .when(~F.col("stamped") & is_event_log_head(text), "header")
         .when(~F.col("stamped"), "bare")
         .when(m.startswith(_BEGIN), "begin")
         .when(m.startswith(_END), "end")

@@ -11,8 +11,8 @@ from logquarry.plans.tables import EVENTS_SQL
 def _extracted(table, text, key, kind):
     def query(spark, sf_dir):
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-        pattern = {"ipv4": ids.IPV4, "email": f"(?i){ids.MAIL}"}[kind]
-        found = rows.select(key, F.explode(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).alias("raw"))
+        find = {"ipv4": ids.v4_in, "email": ids.mail_in}[kind]
+        found = rows.select(key, F.explode(find(F.col(text))).alias("raw"))
         return found.select(key, F.lower("raw").alias("value")).groupBy(key, "value").agg(F.count("*").alias("n"))
 
     return query
@@ -119,7 +119,7 @@ def related_topk(spark, sf_dir):
 
 
 def graph_edges(spark, sf_dir):
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey <= 300")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     occ = items.select(F.lit("part").alias("kind"), F.format_string("%05d", F.col("l_partkey").cast("int")).alias("value"), F.col("l_orderkey").alias("event_id"))
     return graph.edges(occ, occ.select("kind", "value").distinct()).select("a_value", "b_value", "weight")
 
@@ -141,9 +141,7 @@ QUERIES = {
     "extract_mail_pages": _extracted("pages", "html", "page_id", "email"),
 } | {f.__name__: f for f in (extract_all, url_hosts, entity_source, entity_stats, common_flags, shared_ip, worker_contexts, search_words, search_prefix, search_substring, suggest, find_entity, trace_direct, trace_levels, trace_temporal, related_topk, graph_edges, exclude_link, exclude_entity)}
 
-_MAIL_SQL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
-_OCT = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_IP_SQL = rf"\b(?:{_OCT}\.){{3}}{_OCT}\b"
+_MAIL_SQL, _IP_SQL = tables.MAIL_SQL, tables.IP_SQL
 _STATS = f"""{EVENTS_SQL}, es AS (
   SELECT kind, value, event_type AS source_id, COUNT(DISTINCT event_id) AS events, COUNT(DISTINCT ctx) AS groups, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM oc JOIN ev USING (event_id) GROUP BY ALL
 ), et AS (
@@ -197,7 +195,7 @@ SELECT 1 AS level, COUNT(*) AS n FROM chain HAVING COUNT(*) > 0 UNION ALL SELECT
     "trace_temporal": f"""WITH {EVENTS_SQL}, c AS (SELECT event_id, ts_ms, user_id % 10 AS s FROM ev WHERE user_id = 7)
 SELECT event_id, 3 AS level FROM ev WHERE user_id % 10 NOT IN (SELECT s FROM c) AND EXISTS (SELECT 1 FROM c WHERE abs(c.ts_ms - ev.ts_ms) <= 120000)""",
     "related_topk": f"WITH {_NEAR} SELECT * FROM rel ORDER BY shared DESC, kind, value LIMIT 24",
-    "graph_edges": """WITH o AS (SELECT DISTINCT l_orderkey AS e, printf('%05d', l_partkey) AS v FROM lineitem WHERE l_partkey <= 300)
+    "graph_edges": """WITH o AS (SELECT DISTINCT l_orderkey AS e, printf('%05d', l_partkey) AS v FROM lineitem)
 SELECT a.v AS a_value, b.v AS b_value, COUNT(*) AS weight FROM o a JOIN o b ON a.e = b.e AND a.v < b.v GROUP BY ALL""",
     "exclude_link": f"WITH {_NEAR} SELECT * FROM rel WHERE NOT (kind = 'ipv4' AND value = '10.0.0.7') ORDER BY shared DESC, kind, value LIMIT 24",
     "exclude_entity": f"""WITH {_STATS} SELECT kind, COUNT(*) FILTER (NOT (kind = 'queue' AND value = 'q0/1') AND ((kind = 'ipv4' AND value = '10.0.0.7') OR NOT common)) AS usable,

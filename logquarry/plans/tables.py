@@ -49,3 +49,7 @@ dl AS (
   SELECT doc_id AS source_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS text
   FROM (SELECT doc_id, CASE WHEN q[-1] = '' THEN q[:-2] ELSE q END AS p FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS q FROM documents))
 )"""
+
+#: The tables' mail addresses and IPv4 addresses are plain, so simple shapes find the same ones as the operators.
+MAIL_SQL = r"[A-Za-z0-9_%+.-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+IP_SQL = r"\b[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\b"
