@@ -9,6 +9,7 @@ from logquarry.functions import times
 from logquarry.operators import entities as ent
 from logquarry.operators import masking
 from logquarry.operators.search import in_order
+from logquarry.session import settled
 
 # Fixed values.
 EVENT_LIMIT = 5000
@@ -28,7 +29,7 @@ def lines(events: DataFrame, offset: Column) -> DataFrame:
     """Lines of an export in order: stamp, zone, alias, then the text; continuation lines are indented."""
     chosen = in_order(events).limit(EVENT_LIMIT)
     stamp = F.coalesce(F.concat(times.format_ms(F.col("ts_ms"), offset), F.lit(" "), times.zone_text(offset)), F.lit("no time"))
-    head = chosen.join(F.broadcast(aliases(chosen)), "source_id").withColumn("text", F.concat(F.lit("["), stamp, F.lit("] "), "alias", F.lit(" "), F.regexp_replace("text", "\n", "\n    ")))
+    head = chosen.join(aliases(chosen), "source_id").withColumn("text", F.concat(F.lit("["), stamp, F.lit("] "), "alias", F.lit(" "), F.regexp_replace("text", "\n", "\n    ")))
     return head.select("event_id", "ts_ms", F.col("source_id").alias("origin"), "line_start", "text")
 
 
@@ -57,10 +58,38 @@ def gate(leftovers: DataFrame, known: DataFrame) -> DataFrame:
     return leftovers.join(sensitive, ["kind", "value"], "left").select("event_id", "kind", "value", "start", "end", F.when(F.col("known"), "leak").otherwise("review").alias("mark"))
 
 
-def export(events: DataFrame, offset: Column, options: masking.Options = masking.Options(), known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(masked lines in order, dictionary with the new entries)."""
+class ExportRefused(ValueError):
+    """Known sensitive values are still readable in the masked lines."""
+
+
+def checked(masked: DataFrame, known: DataFrame, shown: int = 20) -> DataFrame:
+    """``masked`` (at most ``EVENT_LIMIT`` rows) swept of known sensitive values that the passes left.
+
+    ``known`` has ``kind``, ``value`` and ``generic``. Raises ``ExportRefused``
+    where such a value can be read even then.
+    """
+    left = [r["value"] for r in gate(readable(masked), known).where("mark = 'leak'").select("value").distinct().collect()]
+    if not left:
+        return masked
+    swept = settled(masked.withColumn("masked", sweep(F.col("masked"), left)))
+    still = gate(readable(swept), known).where("mark = 'leak'").select("event_id", "kind").distinct().limit(shown).collect()
+    if still:
+        raise ExportRefused("readable in masked events: " + ", ".join(f"{r['kind']} in {r['event_id']}" for r in still))
+    return swept
+
+
+def export(events: DataFrame, offset: Column, options: masking.Options = masking.Options(), known: DataFrame | None = None, identifiers: DataFrame | None = None, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(masked lines in order, dictionary with the new entries).
+
+    ``known`` is the dictionary so far, ``names`` learned names. With
+    ``identifiers`` (``kind``, ``value``, ``generic``) nothing leaves in which a
+    sensitive one of them can be read, see ``checked``.
+    """
     rows = lines(events, offset).withColumn("source_id", F.lit("export")).withColumn("line_no", F.col("event_id"))
-    found = masking.segmented(rows.select("source_id", "line_no", "text"), options)
+    found = settled(masking.segmented(rows.select("source_id", "line_no", "text"), options, names))
     entries = masking.dictionary(masking.keys(found), known)
-    masked = masking.masked(found, entries).select(F.col("line_no").alias("event_id"), "masked")
+    done = masking.redacted(found) if options.redact else masking.masked(found, entries)
+    masked = done.select(F.col("line_no").alias("event_id"), "masked")
+    if identifiers is not None:
+        masked = checked(settled(masked), identifiers)
     return rows.join(masked, "event_id").select("event_id", "ts_ms", "origin", "line_start", "masked").orderBy(F.col("ts_ms").asc_nulls_last(), "origin", "line_start"), entries

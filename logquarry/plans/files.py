@@ -42,13 +42,10 @@ def manifest(spark, sf_dir):
 
 
 def growing_copies(spark, sf_dir):
-    """Every fifth file also as its first 600 and 900 bytes."""
-    files = rendered.documents_as_files(spark, sf_dir).select("file_id", F.encode("content", "utf-8").alias("content"), "size").where("size > 1000").dropDuplicates(["content"])
-    files = files.where("file_id % 5 = 0")
-    cut = lambda n, k: files.select((F.col("file_id") + k * 1_000_000_000).alias("file_id"), F.substring("content", 1, n).alias("content"), F.lit(n).cast("long").alias("size"))
-    every = files.union(cut(600, 1)).union(cut(900, 2))
-    found = collecting.growing_copies(every)
-    return found.groupBy(F.floor(F.col("file_id") / 1_000_000_000).alias("cut")).agg(F.count("*").alias("n"), F.count_if(F.col("longest") < 1_000_000_000).alias("whole"))
+    """Every file, and its first 600 and 900 bytes where it is longer."""
+    files = rendered.documents_as_files(spark, sf_dir).select("file_id", F.encode("content", "utf-8").alias("content"), "size")
+    cut = lambda n, k: files.where(F.col("size") > n).select((F.col("file_id") + k * 1_000_000_000).alias("file_id"), F.substring("content", 1, n).alias("content"), F.lit(n).cast("long").alias("size"))
+    return collecting.growing_copies(files.union(cut(600, 1)).union(cut(900, 2)))
 
 
 def file_names(spark, sf_dir):
@@ -108,6 +105,10 @@ n AS (SELECT file_id AS first, name, row_number() OVER (PARTITION BY name ORDER
 o AS (SELECT first, CASE WHEN k = 1 THEN name ELSE replace(name, '.log', '__' || k || '.log') END AS out FROM n)
 SELECT CASE WHEN file_id = d.first THEN 'Selected' ELSE 'Duplicate' END AS "Status", day AS "Date", log_type AS "LogType", out AS "OutputName", name AS "OriginalName", 'file' AS "SourceKind", name AS "SourceName", '' AS "ArchiveEntry",
 CAST(size AS VARCHAR) AS "Bytes", sha256 AS "SHA256", '' AS "Error" FROM d JOIN o ON d.first = o.first""",
+    "growing_copies": """WITH f AS (SELECT doc_id AS file_id, hex(encode(text)) AS h FROM documents),
+e AS (SELECT * FROM f UNION ALL SELECT file_id + 1000000000, left(h, 1200) FROM f WHERE length(h) > 1200 UNION ALL SELECT file_id + 2000000000, left(h, 1800) FROM f WHERE length(h) > 1800),
+k AS (SELECT *, left(h, 1024) AS key, CAST(length(h) AS HUGEINT) AS n FROM e WHERE length(h) >= 1024)
+SELECT s.file_id, CAST(max(l.n * 100000000000 + l.file_id) % 100000000000 AS BIGINT) AS longest FROM k s JOIN k l ON s.key = l.key AND l.n > s.n AND starts_with(l.h, s.h) GROUP BY s.file_id""",
     "file_names": f"""WITH {_F} SELECT file_id, 0 AS shape, day, log_type, log_type AS kind, '.log' AS suffix FROM f
 UNION ALL SELECT file_id, 1, day, log_type, log_type || ' part', '.log' FROM f UNION ALL SELECT file_id, 2, day, log_type, log_type, '.log' FROM f
 UNION ALL SELECT file_id, 3, NULL, 'Unspecified', 'Log', '.log' FROM f UNION ALL SELECT file_id, 4, NULL, 'plain', 'plain', '.txt' FROM f""",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logquarry.functions import identifiers as ids
-from logquarry.operators import entities, graph, search, sessions, trace
+from logquarry.operators import entities, graph, inquiry, search, sessions, trace
 from logquarry.plans import tables
 from logquarry.plans.tables import EVENTS_SQL
 
@@ -19,10 +19,15 @@ def _extracted(table, text, key, kind):
 
 
 def extract_all(spark, sf_dir):
+    """Addresses and mail of the document lines by value; ``extract_kinds`` has the other kinds too, which SQL can't express."""
+    return extract_kinds(spark, sf_dir).where(F.col("kind").isin("ipv4", "email"))
+
+
+def extract_kinds(spark, sf_dir):
     """Every identifier the document lines hold, by kind and value."""
     lines = tables.document_lines(spark, sf_dir)
     rows = lines.select(F.monotonically_increasing_id().alias("event_id"), "text", F.array().cast("array<struct<kind:string,value:string,role:string,display:string>>").alias("ids"))
-    return entities.occurrences(rows).where(F.col("kind").isin("ipv4", "email")).groupBy("kind", "value").agg(F.count("*").alias("lines"))
+    return entities.occurrences(rows).groupBy("kind", "value").agg(F.count("*").alias("lines"))
 
 
 def url_hosts(spark, sf_dir):
@@ -106,6 +111,22 @@ def trace_levels(spark, sf_dir):
     return trace.level_counts(trace.trace(events, occ, known, _anchor(spark)))
 
 
+def trace_rows(spark, sf_dir):
+    """The events behind ``trace_levels``, errors alone."""
+    events, occ, known = _parts(spark, sf_dir)
+    occ = occ.where("kind <> 'queue'")
+    events = events.withColumn("ctx", F.when(F.col("event_id") % 2 == 0, F.col("ctx")))
+    occ = occ.where("not (kind = 'email' and event_id % 3 = 0)")
+    found = inquiry.inquire(events, occ, known, _anchor(spark), min_severity=3)
+    return found.hits.select("event_id", "level", F.col("basis").startswith("contains ").alias("contains"))
+
+
+def event_detail(spark, sf_dir):
+    """Identifiers of one event with their flags."""
+    _, named, _ = inquiry.event_detail(tables.events(spark, sf_dir), tables.occurrences(spark, sf_dir), _entities(spark, sf_dir), 500)
+    return named.select("kind", "value", "events", "common")
+
+
 def trace_temporal(spark, sf_dir):
     events, occ, known = _parts(spark, sf_dir)
     occ = occ.where("kind = 'email'")
@@ -139,7 +160,7 @@ QUERIES = {
     "extract_ipv4": _extracted("documents", "text", "doc_id", "ipv4"),
     "extract_mail": _extracted("documents", "text", "doc_id", "email"),
     "extract_mail_pages": _extracted("pages", "html", "page_id", "email"),
-} | {f.__name__: f for f in (extract_all, url_hosts, entity_source, entity_stats, common_flags, shared_ip, worker_contexts, search_words, search_prefix, search_substring, suggest, find_entity, trace_direct, trace_levels, trace_temporal, related_topk, graph_edges, exclude_link, exclude_entity)}
+} | {f.__name__: f for f in (extract_all, extract_kinds, url_hosts, entity_source, entity_stats, common_flags, shared_ip, worker_contexts, search_words, search_prefix, search_substring, suggest, find_entity, trace_direct, trace_levels, trace_rows, event_detail, trace_temporal, related_topk, graph_edges, exclude_link, exclude_entity)}
 
 _MAIL_SQL, _IP_SQL = tables.MAIL_SQL, tables.IP_SQL
 _STATS = f"""{EVENTS_SQL}, es AS (
@@ -192,6 +213,14 @@ chain AS (SELECT event_id FROM held UNION SELECT event_id FROM e2 WHERE ctx IN (
 seed AS (SELECT ts_ms FROM e2 JOIN chain USING (event_id)),
 met AS (SELECT event_id, EXISTS (SELECT 1 FROM seed WHERE abs(seed.ts_ms - e2.ts_ms) <= 300000) AS near FROM e2 WHERE user_id = 7 AND event_id NOT IN (SELECT event_id FROM chain))
 SELECT 1 AS level, COUNT(*) AS n FROM chain HAVING COUNT(*) > 0 UNION ALL SELECT CASE WHEN near THEN 2 ELSE 3 END, COUNT(*) FROM met GROUP BY 1""",
+    "trace_rows": f"""WITH {EVENTS_SQL}, e2 AS (SELECT event_id, ts_ms, ip, user_id, severity, CASE WHEN event_id % 2 = 0 THEN ctx END AS ctx FROM ev),
+held AS (SELECT event_id, ctx FROM e2 WHERE user_id = 7 AND event_id % 3 <> 0),
+chain AS (SELECT event_id FROM held UNION SELECT event_id FROM e2 WHERE ctx IN (SELECT ctx FROM held WHERE ctx IS NOT NULL)),
+seed AS (SELECT ts_ms FROM e2 JOIN chain USING (event_id)),
+met AS (SELECT event_id, EXISTS (SELECT 1 FROM seed WHERE abs(seed.ts_ms - e2.ts_ms) <= 300000) AS near FROM e2 WHERE user_id = 7 AND event_id NOT IN (SELECT event_id FROM chain)),
+found AS (SELECT event_id, 1 AS level FROM chain UNION ALL SELECT event_id, CASE WHEN near THEN 2 ELSE 3 END FROM met)
+SELECT event_id, level, event_id IN (SELECT event_id FROM held) AS contains FROM found JOIN e2 USING (event_id) WHERE severity >= 3""",
+    "event_detail": f"WITH {_STATS} SELECT kind, value, events, common FROM cm JOIN oc USING (kind, value) WHERE event_id = 500",
     "trace_temporal": f"""WITH {EVENTS_SQL}, c AS (SELECT event_id, ts_ms, user_id % 10 AS s FROM ev WHERE user_id = 7)
 SELECT event_id, 3 AS level FROM ev WHERE user_id % 10 NOT IN (SELECT s FROM c) AND EXISTS (SELECT 1 FROM c WHERE abs(c.ts_ms - ev.ts_ms) <= 120000)""",
     "related_topk": f"WITH {_NEAR} SELECT * FROM rel ORDER BY shared DESC, kind, value LIMIT 24",

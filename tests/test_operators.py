@@ -210,3 +210,65 @@ def test_written_files(spark, tmp_path):
     assert (tmp_path / "out" / "a.anonym.log").read_bytes() == b"x [IPv4-001]\r\ny\nz\r"
     with pytest.raises(ValueError):
         writing.write_files(out, folder)
+
+
+def test_growing_copies(spark):
+    import random
+
+    rng = random.Random(2)
+    base = bytes(rng.randrange(256) for _ in range(900))
+    texts = [base, base[:600], base[:512], base[:511], base[:700] + b"x", base, base[:600], b"", base[:513][::-1]]
+    files = spark.createDataFrame([(k, bytearray(t), len(t)) for k, t in enumerate(texts)], "file_id long, content binary, size long")
+    want = {}
+    for k, t in enumerate(texts):
+        longer = [(len(u), j) for j, u in enumerate(texts) if len(u) > len(t) >= 512 and u.startswith(t)]
+        if longer:
+            want[k] = max(longer)[1]
+    assert {r["file_id"]: r["longest"] for r in collecting.growing_copies(files).collect()} == want
+
+
+def test_export_is_refused(spark):
+    rows = spark.createDataFrame([(1, "b", 1, 2000, "device DEVICE77 of ann@x.example")], "event_id long, source_id string, line_start long, ts_ms long, text string")
+    options = masking.Options(keep_domains=("host.example",))
+    known = spark.createDataFrame([("email", "ann@x.example", False), ("domain", "mail.host.example", False)], "kind string, value string, generic boolean")
+    masked, _ = exporting.export(rows, F.lit(0), options, identifiers=known)
+    assert "ann@" not in masked.first()["masked"]
+    kept = rows.withColumn("text", F.lit("at mail.host.example"))
+    masked, _ = exporting.export(kept, F.lit(0), options, identifiers=known)
+    assert masked.first()["masked"].endswith("at [WERT]")
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a@b.example, x.y@sub.host.example-", [("email", "a@b.example"), ("email", "x.y@sub.host.example")]),
+    ("a..b@x.example .c@y.example", []),
+    ("Browser/120.0.0.0 localhost/10.1.2.3:80 300.1.1.1 1.2.3.4.5", [("ipv4", "10.1.2.3"), ("port", "80")]),
+    ("[2001:db8::5]:443 ::ffff:192.0.2.1 12:34:56 ::", [("ipv6", "2001:db8::5"), ("port", "443"), ("ipv6", "::ffff:192.0.2.1")]),
+    ("Message-ID: <a.b@c.example>, see https://x.example/a?b", [("msgid", "<a.b@c.example>"), ("url", "https://x.example/a?b")]),
+    ("q\\md50000001.msg at mail.host.example. aa.bb.c1", [("queue", "md50000001.msg"), ("domain", "mail.host.example"), ("domain", "aa.bb")]),
+])
+def test_identifiers(spark, text, want):
+    from logquarry.operators import entities
+
+    found = spark.createDataFrame([(text,)], "t string").select(entities.find(F.col("t")).alias("f")).first()["f"]
+    assert sorted((r["kind"], r["raw"]) for r in found) == sorted(want)
+
+
+def test_names_meet_lines(spark):
+    rows = frame(spark, ["Erika Beispiel grüßt ERIKA BEISPIEL", "vonBeispiel Beispielen", "nobody"])
+    names = spark.createDataFrame([("Person", "Erika Beispiel"), ("Person", "Beispiel"), ("Person", "Xy")], "category string, value string")
+    found = masking.segmented(rows, masking.Options(), names)
+    shown = {r["line_no"]: r["masked"] for r in masking.redacted(found).collect()}
+    assert shown == {1: "[NAME-ENTFERNT] grüßt [NAME-ENTFERNT]", 2: "von[NAME-ENTFERNT] Beispielen", 3: "nobody"}
+
+
+def test_without_training_operators(tmp_path):
+    """The library, the entry module and its queries work without the subpackage for training data."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'time_bins' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"], cwd=tmp_path / "repo", capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
