@@ -189,15 +189,17 @@ def _shard_links(distinct: DataFrame, n: int) -> DataFrame:
     return distinct.mapInArrow(route, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def components(links: DataFrame, label: str = "components") -> DataFrame:
+def components(links: DataFrame, label: str = "components", rounds: int | None = None) -> DataFrame:
     """``node`` and the smallest ``root`` it is connected to, for every node of ``links`` (a, b).
 
     Alternates large-star and small-star steps until nothing changes. Minimums
     are combined before the shuffle, and joins on a node with many neighbours
-    are left to adaptive skew splitting.
+    are left to adaptive skew splitting. After ``rounds``, if given, the roots so
+    far are returned: nodes of one root are connected, but not all that are
+    connected have one root yet.
     """
     links = written(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), label)
-    before = None
+    before, done = None, 0
     while True:
         both = links.union(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -208,7 +210,11 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             return links.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(links.select(F.col("lo"), F.col("lo")).distinct())
-        before = state
+        before, done = state, done + 1
+        if done == rounds:
+            roots = links.groupBy("hi").agg(F.min("lo").alias("lo"))
+            heads = links.select("lo").distinct().join(roots.select(F.col("hi").alias("lo")), "lo", "left_anti")
+            return roots.toDF("node", "root").union(heads.select("lo", F.col("lo").alias("root")))
 
 
 def named(marks: DataFrame, distinct: DataFrame, comp: DataFrame) -> DataFrame:
