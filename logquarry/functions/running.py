@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions in one piece of a group.
-PIECE = 65_536
+PIECE = 4096
 
 
 def running(df: DataFrame, group: str, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, before: bool = False, piece: int = PIECE) -> DataFrame:
