@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.functions import times
@@ -48,6 +48,20 @@ def resolve(events: DataFrame, sources: DataFrame, default: tuple[int | None, st
     return out.drop("tz_mode", "tz_offset", "detected_offset", "skew_ms")
 
 
+def zone_stretches(events: DataFrame) -> DataFrame:
+    """Per source, runs of consecutive hours with events that have one zone: ``off_min``, first and last hour (wall time) and ``hours``.
+
+    An hour in which the zone changes is part of both runs. Events are brought to
+    a row for each source, hour and zone before any window sees them.
+    """
+    hours = events.where("wall is not null and off_min is not null").select("source_id", F.date_trunc("hour", F.col("wall").cast("timestamp")).alias("hour"), "off_min").distinct()
+    before = Window.partitionBy("source_id").orderBy("hour", "off_min")
+    opens = hours.withColumn("opens", (~F.lag("off_min").over(before).eqNullSafe(F.col("off_min"))).cast("int"))
+    runs = opens.withColumn("run", F.sum("opens").over(before)).groupBy("source_id", "off_min", "run")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return runs.agg(shown(F.min("hour")).alias("first_hour"), shown(F.max("hour")).alias("last_hour"), F.count("*").alias("hours")).drop("run")
+
+
 def bins(events: DataFrame) -> DataFrame:
     """Counts by source, ten minutes and severity of timed events."""
     return events.where("ts_ms is not null").groupBy("source_id", times.bin_of(F.col("ts_ms")).alias("bin"), "severity").agg(F.count("*").alias("n"))

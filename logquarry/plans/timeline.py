@@ -74,9 +74,17 @@ def time_normalize(spark, sf_dir):
 
 
 def zone_inference(spark, sf_dir):
-    rows = _walls(spark, sf_dir).where("source_id <> 'click'")
-    default = timeline.default_zone(timeline.stated_zones(rows, _settings(rows)))
-    return timeline.resolve(rows, _settings(rows), default).groupBy("source_id", "ts_flag", "off_min").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("sum_ms"))
+    """All sources; none states a zone of its own here, so that the lines' statements agree on one."""
+    rows = _walls(spark, sf_dir)
+    settings = _settings(rows).withColumn("detected_offset", F.lit(None).cast("int"))
+    default = timeline.default_zone(timeline.stated_zones(rows, settings))
+    return timeline.resolve(rows, settings, default).groupBy("source_id", "ts_flag", "off_min").agg(F.count("*").alias("n"), F.sum("ts_ms").alias("sum_ms"))
+
+
+def zone_stretches(spark, sf_dir):
+    rows = _walls(spark, sf_dir)
+    events = timeline.resolve(rows, _settings(rows), (None, "local"), "Europe/Berlin").withColumn("off_min", times.local_offset(F.col("wall"), "Europe/Berlin"))
+    return timeline.zone_stretches(events)
 
 
 def formatted_times(spark, sf_dir):
@@ -93,7 +101,7 @@ r AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (time_bins, severity_bins, timeline_page, timeline_filtered, histogram_72, histogram_binned, source_summary, overview, capped_hits, time_normalize, zone_inference, formatted_times)
+    for f in (time_bins, severity_bins, timeline_page, timeline_filtered, histogram_72, histogram_binned, source_summary, overview, capped_hits, time_normalize, zone_inference, zone_stretches, formatted_times)
 }
 ORACLES = {
     "time_bins": "SELECT event_type, CAST(epoch_ms(ts) // 600000 AS BIGINT) AS bin, COUNT(*) AS n FROM events GROUP BY 1, 2",
@@ -113,9 +121,14 @@ SELECT (bin * 600000 - lo) // size AS bucket, lo + (bin * 600000 - lo) // size *
     WHEN wall >= TIMESTAMP '2024-03-31 02:00:00' AND wall < TIMESTAMP '2024-10-27 03:00:00' THEN 120 ELSE 60 END AS off_min FROM r)
 SELECT event_id, off_min, CAST(floor(epoch_us(wall) / 1000) AS BIGINT) - off_min * 60000 + CASE WHEN source_id = 'click' THEN 2000 ELSE 0 END AS ts_ms,
   CASE WHEN f = 'inherited' THEN f WHEN o IS NOT NULL THEN 'exact' WHEN source_id IN ('error', 'click') THEN 'source' ELSE 'local' END AS ts_flag FROM z""",
-    "zone_inference": f"""WITH {_RESOLVED}, z AS (SELECT *, coalesce(o, CASE WHEN source_id = 'error' THEN 120 ELSE 60 END) AS off_min FROM r WHERE source_id <> 'click')
+    "zone_inference": f"""WITH {_RESOLVED}, z AS (SELECT *, coalesce(o, CASE WHEN source_id = 'error' THEN 120 ELSE 60 END) AS off_min FROM r)
 SELECT source_id, CASE WHEN f = 'inherited' THEN f WHEN o IS NOT NULL THEN 'exact' WHEN source_id = 'error' THEN 'source' ELSE 'inferred' END AS ts_flag, off_min,
-  COUNT(*) AS n, CAST(SUM(CAST(floor(epoch_us(wall) / 1000) AS BIGINT) - off_min * 60000) AS BIGINT) AS sum_ms FROM z GROUP BY ALL""",
+  COUNT(*) AS n, CAST(SUM(CAST(floor(epoch_us(wall) / 1000) AS BIGINT) - off_min * 60000 + CASE WHEN source_id = 'click' THEN 2000 ELSE 0 END) AS BIGINT) AS sum_ms FROM z GROUP BY ALL""",
+    "zone_stretches": f"""WITH {_RESOLVED}, z AS (SELECT DISTINCT source_id, date_trunc('hour', wall) AS hour,
+    CASE WHEN wall >= TIMESTAMP '2024-03-31 02:00:00' AND wall < TIMESTAMP '2024-10-27 03:00:00' THEN 120 ELSE 60 END AS off_min FROM r),
+  c AS (SELECT *, CASE WHEN off_min IS DISTINCT FROM lag(off_min) OVER (PARTITION BY source_id ORDER BY hour) THEN 1 ELSE 0 END AS opens FROM z),
+  s AS (SELECT *, SUM(opens) OVER (PARTITION BY source_id ORDER BY hour) AS k FROM c)
+SELECT source_id, off_min, strftime(min(hour), '%Y-%m-%d %H:%M') AS first_hour, strftime(max(hour), '%Y-%m-%d %H:%M') AS last_hour, COUNT(*) AS hours FROM s GROUP BY source_id, off_min, k""",
     "formatted_times": f"""WITH {EVENTS_SQL}, z AS (SELECT event_id, ts_ms, (user_id % 5 - 2) * 90 AS off FROM ev)
 SELECT event_id, strftime(make_timestamp((ts_ms + off * 60000) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS shown,
   CASE WHEN off < 0 THEN '-' ELSE '+' END || printf('%02d', abs(off) // 60) || ':' || printf('%02d', abs(off) % 60) AS zone FROM z""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import identifiers as ids
 from logquarry.functions import names
 from logquarry.operators import collecting, exporting, learning, masking, search, sessions, trace
+from logquarry.session import settled
 from logquarry.sources import files, lines
 
 LOG = """START Event Log
@@ -272,3 +273,31 @@ def test_without_training_operators(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert 'time_bins' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"], cwd=tmp_path / "repo", capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_people_share_numbers(spark):
+    rows = frame(spark, ["Viele Grüße", "Jan Probe", "", "from \"Beispiel, Erika\" <e@x.example>", "Sehr geehrte Frau Beispiel, PROBE STRASSE", "Straße Strasse"])
+    findings = settled(learning.learn(learning.blocks(rows)))
+    found = settled(masking.segmented(rows, masking.Options(terms=("Straße", "STRASSE")), findings.select("category", "value").distinct()))
+    entries = settled(learning.dictionary(masking.keys(found), findings))
+    tokens = {r["folded"]: r["token"] for r in entries.collect()}
+    assert tokens["jan probe"].startswith("[PERSON-") and tokens["probe"] == tokens["jan probe"].replace("PERSON", "NAME")
+    assert tokens["beispiel"] == tokens["erika beispiel"].replace("PERSON", "NAME") and tokens["strasse"] == "[WERT-001]"
+    shown = masking.masked(found, entries)
+    texts = {r["line_no"]: r["masked"] for r in shown.collect()}
+    assert texts[2] == tokens["jan probe"] and texts[5].endswith(f"{tokens['probe']} [WERT-001]") and texts[6] == "[WERT-001] [WERT-001]"
+    more = learning.dictionary(masking.keys(found), learning.learn(frame(spark, ["Von: \"Anna Neu\" <a@x.example>"])), entries)
+    assert more.where("folded = 'anna neu'").first()["token"] == "[PERSON-003]" and more.count() == entries.count() + 2
+
+
+def test_blocks(spark):
+    rows = frame(spark, [str(k) for k in range(1, 11)])
+    got = {r["block"]: r["text"].split("\n") for r in learning.blocks(rows, 5, 2).collect()}
+    assert got == {0: ["1", "2", "3", "4", "5"], 1: ["4", "5", "6", "7", "8"], 2: ["7", "8", "9", "10"], 3: ["10"]}
+
+
+def test_unknown_tokens(spark):
+    entries = spark.createDataFrame([("IPv4", "203.0.113.7", "203.0.113.7", "[IPv4-001]")], "category string, folded string, key string, token string")
+    rows = spark.createDataFrame([("s", 1, "[IPv4-001] [IPv4-009] [ipv4-009]")], "source_id string, line_no long, masked string")
+    row = masking.restored(rows, entries).first()
+    assert (row["restored"], row["resolved"], row["unresolved"], row["unknown"]) == ("203.0.113.7 [IPv4-009] [ipv4-009]", 1, 2, ["[ipv4-009]"])
