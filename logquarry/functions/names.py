@@ -14,6 +14,12 @@ UNSPECIFIED = "Unspecified"
 DEFAULT_EXTENSIONS = (".log", ".txt", ".xml", ".csv", ".json")
 
 
+def copy_label(path: Column, other: Column) -> Column:
+    """How one of two copies is shown: its name, with its folder in front where both have one name."""
+    folder = F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]*$", 1)
+    return F.when((leaf(path) == leaf(other)) & (folder != ""), F.concat(folder, F.lit("/"), leaf(path))).otherwise(leaf(path))
+
+
 def leaf(name: Column) -> Column:
     """The last part of a path with slashes of either kind."""
     return F.element_at(F.split(F.translate(name, "\\", "/"), "/"), -1)

@@ -17,6 +17,23 @@ DECISIONS = "kind string, a_kind string, a_value string, b_kind string, b_value
 _NAME = re.compile(r"[a-z0-9][a-z0-9-]{0,63}")
 
 
+def investigations(spark: SparkSession, root: str) -> list[str]:
+    """Names of the investigations below ``root``, those with a readable table of sources."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    found = sorted(x.getPath().getName() for x in store.listStatus(path) if x.isDirectory())
+    return [name for name in found if _NAME.fullmatch(name) and _readable(Workspace(spark, root, name))]
+
+
+def _readable(space: Workspace) -> bool:
+    try:
+        return space.read("sources") is not None
+    except AnalysisException:
+        return False
+
+
 class Workspace:
     """Tables below one folder. Every change writes a new version of a table and then points to it, so a failed write leaves the old one."""
 
@@ -25,6 +42,11 @@ class Workspace:
             raise ValueError(f"not a name for an investigation: {name!r}")
         self.spark, self.folder = spark, f"{root.rstrip('/')}/{name}"
 
+    def delete(self) -> None:
+        """Remove the investigation with all its tables."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def _version(self, table: str) -> str | None:
         try:
             found = self.spark.read.text(f"{self.folder}/{table}/current").collect()  # one line

@@ -301,3 +301,38 @@ def test_unknown_tokens(spark):
     rows = spark.createDataFrame([("s", 1, "[IPv4-001] [IPv4-009] [ipv4-009]")], "source_id string, line_no long, masked string")
     row = masking.restored(rows, entries).first()
     assert (row["restored"], row["resolved"], row["unresolved"], row["unknown"]) == ("203.0.113.7 [IPv4-009] [ipv4-009]", 1, 2, ["[ipv4-009]"])
+
+
+def test_lists_and_pasted_text(spark):
+    from logquarry.operators import store
+
+    data = store.listed(store.listed({"Version": 2}, "Terms", "Nordlicht "), "Terms", "nordlicht")
+    data = store.listed(data, "Ignore", "203.0.113.9")
+    assert data["Terms"] == ["Nordlicht"]
+    with pytest.raises(store.StoreError):
+        store.listed(data, "Patterns", "(")
+    text, after = store.mask_text(spark, "NORDLICHT at 203.0.113.7\r\n203.0.113.9", data)
+    assert text == "[WERT-001] at [IPv4-001]\r\n203.0.113.9"
+    assert after["IPv4"] == {"203.0.113.7": "[IPv4-001]"} and after["Ignore"] == ["203.0.113.9"]
+    fewer = store.unlisted(after, "Terms", "NORDLICHT")
+    assert fewer["Terms"] == [] and fewer["Extra"] == after["Extra"]
+    assert store.mask_text(spark, "203.0.113.8", fewer)[0] == "[IPv4-002]"
+    assert masking.preview(frame(spark, ["a", "b", "c"]), n=2).count() == 2
+
+
+def test_investigations(spark, tmp_path):
+    from logquarry.operators.workspace import SOURCES, Workspace, investigations
+
+    root = f"file://{tmp_path}/all"
+    assert investigations(spark, root) == []
+    for name in ("case-1", "case-2"):
+        Workspace(spark, root, name).write("sources", spark.createDataFrame([], SOURCES))
+    (tmp_path / "all" / "other").mkdir()
+    assert investigations(spark, root) == ["case-1", "case-2"]
+    Workspace(spark, root, "case-1").delete()
+    assert investigations(spark, root) == ["case-2"]
+
+
+def test_copy_labels(spark):
+    rows = spark.createDataFrame([("a/b/x.log", "c/x.log"), ("x.log", "c/x.log"), ("a/y.log", "c/x.log")], "p string, o string")
+    assert [r[0] for r in rows.select(names.copy_label(F.col("p"), F.col("o"))).collect()] == ["b/x.log", "x.log", "y.log"]
