@@ -2,13 +2,18 @@
 
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are polynomials
 modulo 2**64 taken from prefix sums, so the hash of any slice costs one
-subtraction and one product; a last mix spreads the bits.
+subtraction and one product; a last mix spreads the bits. Some long strings
+collide in such a polynomial whatever its base, so a slice of more than
+``LONG`` bytes is hashed by XXH64 instead.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
+#: Bytes up to which a slice of a text is hashed by its polynomial.
+LONG = 255
 BASE = 0x9E6C63D0876A9A47
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -44,7 +49,12 @@ def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=sums[1:])
     lengths = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * _powers[1][starts] + lengths * np.uint64(0xA24BAED4963EE407))
+    hashes = mix((sums[ends] - sums[starts]) * _powers[1][starts] + lengths * np.uint64(0xA24BAED4963EE407))
+    if values.dtype == np.uint8:
+        view = memoryview(np.ascontiguousarray(values))
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            hashes[k] = xxhash.xxh64_intdigest(view[starts[k] : ends[k]])
+    return hashes
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -41,6 +41,10 @@ TRAINING_ROWS = 400
 ROUNDS = 100
 #: Words on either side of a triggering word that its window takes in.
 REACH = 2
+#: Windows that are decoded side by side, the words they may have together once padded, and the words of each that are scored at a time.
+SIDE_BY_SIDE = 512
+PADDED_WORDS = 1 << 20
+STEPS = 64
 NONE = -1e9
 
 
@@ -242,31 +246,44 @@ class Field:
             got = self.seen[word] = own, self.left.get(what, self.zero), self.right.get(what, self.zero)
         return got
 
-    def scores(self, windows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Emissions, padded to the longest window, and the windows' lengths."""
-        lengths = np.array([len(w) for w in windows])
-        out = np.zeros((len(windows), int(lengths.max()), len(LABELS)))
+    def scores(self, windows: list[list[str]], low: int, high: int) -> np.ndarray:
+        """Emissions of the words at ``low`` to ``high`` of each window, padded with zeros."""
+        out = np.zeros((len(windows), high - low, len(LABELS)))
         for k, words in enumerate(windows):
-            own, left, right = (np.array(x) for x in zip(*map(self.word, words), strict=True))
-            out[k, : len(words)] = own
-            out[k, 1 : len(words)] += left[:-1]
-            out[k, : len(words) - 1] += right[1:]
-        return out, lengths
+            some = words[max(low - 1, 0) : high + 1]
+            if len(words) <= low:
+                continue
+            own, left, right = (np.array(x) for x in zip(*map(self.word, some), strict=True))
+            skip, size = min(low, 1), min(len(words), high) - low
+            out[k, :size] = own[skip : skip + size]
+            before, after = left[: skip + size - 1], right[skip + 1 :]
+            out[k, 1 - skip : size] += before
+            out[k, : len(after)] += after
+        return out
 
     def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
-        """The best labels of each window, with ``O`` around it."""
+        """The best labels of each window, with ``O`` around it.
+
+        Emissions are made for ``STEPS`` words of each window at a time, so that
+        only a byte a label is kept for every word of long windows.
+        """
         if not windows:
             return []
-        scores, lengths = self.scores(windows)
-        n, steps, _ = scores.shape
-        best = scores[:, 0] + self.moves[0]
+        lengths = np.array([len(w) for w in windows])
+        n, steps = len(windows), int(lengths.max())
         back = np.zeros((steps, n, len(LABELS)), np.int8)
-        last = np.where((lengths == 1)[:, None], best, 0)
-        for t in range(1, steps):
-            ways = best[:, :, None] + self.moves[None]
-            back[t] = ways.argmax(axis=1)
-            best = ways.max(axis=1) + scores[:, t]
-            last = np.where((lengths == t + 1)[:, None], best, last)
+        best = last = np.zeros((n, len(LABELS)))
+        for low in range(0, steps, STEPS):
+            high = min(low + STEPS, steps)
+            scores = self.scores(windows, low, high)
+            for t in range(low, high):
+                if t:
+                    ways = best[:, :, None] + self.moves[None]
+                    back[t] = ways.argmax(axis=1)
+                    best = ways.max(axis=1) + scores[:, t - low]
+                else:
+                    best = scores[:, 0] + self.moves[0]
+                last = np.where((lengths == t + 1)[:, None], best, last)
         at = (last + self.moves[:, 0]).argmax(axis=1)
         path = np.zeros((n, steps), np.int8)
         for t in range(steps - 1, -1, -1):
@@ -364,7 +381,11 @@ def windows_of(text: str, windowed: bool) -> list[list[tuple[int, int]]]:
     if not windowed:
         return [[m.span() for m in WORD.finditer(text)]] if WORD.search(text) else []
     runs: list[list[int]] = []
+    word_end = 0
     for m in TRIGGER.finditer(text):
+        if m.start() < word_end:
+            continue  # the word's first trigger has widened as far
+        word_end = _REST.match(text, m.start()).end()
         # Widen to REACH words either way; words are bounded by white space.
         if runs and m.start() < runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], _widen(text, m.start(), 1))
@@ -377,6 +398,7 @@ def windows_of(text: str, windowed: bool) -> list[list[tuple[int, int]]]:
     return [[(m.start() + low, m.end() + low) for m in WORD.finditer(text[low:high])] for low, high in runs]
 
 
+_REST = re.compile(r"[^\x20\x09-\x0D]*")
 _BACK = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,%d}" % REACH)
 
 
@@ -400,8 +422,7 @@ def find_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str,
     found: list[list] = [[(a, b, kind, True) for a, b, kind in spans] for spans in base]
     for low in range(0, len(at), 4096):
         some = sorted(at[low : low + 4096], key=lambda x: len(x[1]))
-        for k in range(0, len(some), 512):
-            group = some[k : k + 512]
+        for group in _groups(some):
             paths = field.decode([[texts[i][a:b] for a, b in spans] for i, spans in group])
             for (i, spans), path in zip(group, paths, strict=True):
                 for a, b, kind in _joined(texts[i], spans, path):
@@ -410,6 +431,18 @@ def find_spans(texts: list[str], field: Field) -> list[list[tuple[int, int, str,
     return [sorted(x, key=lambda s: (s[0], ALL_KINDS.index(s[2]))) for x in found]
 
 
+def _groups(windows: list[tuple[int, list]]) -> Iterator[list[tuple[int, list]]]:
+    """Windows, from short to long, in groups that are bounded by count and by padded words; a longer window is a group of its own."""
+    group: list[tuple[int, list]] = []
+    for window in windows:
+        if group and (len(group) == SIDE_BY_SIDE or (len(group) + 1) * len(window[1]) > PADDED_WORDS):
+            yield group
+            group = []
+        group.append(window)
+    if group:
+        yield group
+
+
 def _joined(text: str, spans: list[tuple[int, int]], path: np.ndarray) -> Iterator[tuple[int, int, str]]:
     t = 0
     while t < len(path):
