@@ -44,10 +44,15 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_ready(spark: SparkSession) -> SparkSession:
-    """Give the context a checkpoint folder: the shared one of the session, or a temporary one where none is set."""
+    """Give the context a checkpoint folder: the shared one of the session, or a temporary one where none is set and the session is local."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logquarry-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="logquarry-checkpoints-")
+        context.setCheckpointDir(folder)
     return spark
 
 
