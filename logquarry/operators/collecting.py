@@ -25,7 +25,7 @@ def selected(files: DataFrame, days: list[str] | None = None, types: list[str] |
     """Dated files: those of explicit (``log_type``, ``day``) pairs, else of the days and type patterns."""
     dated = files.where(F.col("day").isNotNull())
     if pairs is not None:
-        return dated.join(F.broadcast(pairs.select("log_type", "day").distinct()), ["log_type", "day"], "left_semi")
+        return dated.join(pairs.select("log_type", "day").distinct(), ["log_type", "day"], "left_semi")
     if days:
         dated = dated.where(F.col("day").cast("string").isin(days))
     return dated.where(type_matches(F.col("log_type"), types))
@@ -80,19 +80,27 @@ def manifest(files: DataFrame, order: str) -> DataFrame:
 
     ``files``: ``order``, ``log_type``, ``day``, ``name``, ``size``, ``sha256``, ``source_kind``, ``source_name``, ``entry``, ``error``.
     """
-    bad = files.where(F.col("error").isNotNull())
     judged = without_duplicates(files.where(F.col("error").isNull()), order)
     kept = output_names(judged.where(~F.col("duplicate")), order)
     names = kept.select(F.col(order).alias("first"), "output_name")
-    rows = judged.join(names, "first")
+    rows = manifest_rows(judged.join(names, "first"), files.where(F.col("error").isNotNull()), order)
+    return rows.orderBy("_rank", "_order").select(*MANIFEST)
+
+
+def manifest_rows(rows: DataFrame, bad: DataFrame, order: str) -> DataFrame:
+    """The manifest's columns with ``_rank`` and ``_order`` to sort them by: of judged and named files, and of unreadable archives."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    good = rows.select(
-        F.lit(1).alias("_rank"), F.col(order).alias("_order"), F.when(F.col("duplicate"), "Duplicate").otherwise("Selected").alias("Status"), text("day").alias("Date"), text("log_type").alias("LogType"), F.col("output_name").alias("OutputName"),
-        text("name").alias("OriginalName"), text("source_kind").alias("SourceKind"), text("source_name").alias("SourceName"), text("entry").alias("ArchiveEntry"), text("size").alias("Bytes"), text("sha256").alias("SHA256"), F.lit("").alias("Error"),
-    )
     none = F.lit("")
-    errors = bad.select(F.lit(0).alias("_rank"), F.col(order).alias("_order"), F.lit("ArchiveError").alias("Status"), none.alias("Date"), none.alias("LogType"), none.alias("OutputName"), none.alias("OriginalName"), text("source_kind").alias("SourceKind"), text("source_name").alias("SourceName"), none.alias("ArchiveEntry"), none.alias("Bytes"), none.alias("SHA256"), text("error").alias("Error"))
-    return errors.union(good).orderBy("_rank", "_order").select(*MANIFEST)
+
+    def columns(rank: int, **values: Column) -> list[Column]:
+        return [F.lit(rank).alias("_rank"), F.col(order).alias("_order"), *[values.get(name, none).alias(name) for name in MANIFEST]]
+
+    source = {"SourceKind": text("source_kind"), "SourceName": text("source_name")}
+    good = rows.select(*columns(
+        1, Status=F.when(F.col("duplicate"), "Duplicate").otherwise("Selected"), Date=text("day"), LogType=text("log_type"), OutputName=F.col("output_name"),
+        OriginalName=text("name"), ArchiveEntry=text("entry"), Bytes=text("size"), SHA256=text("sha256"), **source,
+    ))
+    return bad.select(*columns(0, Status=F.lit("ArchiveError"), Bytes=F.lit("0"), Error=text("error"), **source)).union(good)
 
 
 @F.pandas_udf(ArrayType(StructType().add("short_size", LongType()).add("sha", StringType())))
