@@ -27,12 +27,6 @@ CHUNK = 1 << 20
 _BEFORE = -(1 << 40)
 
 
-def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:") :]
-    return pyarrow.fs.FileSystem.from_uri(uri)
-
-
 class _Contents:
     """Streams of files and archive members; the archive opened last stays open."""
 
@@ -42,12 +36,12 @@ class _Contents:
     @contextmanager
     def open(self, path: str, entry: str | None):
         if entry is None:
-            store, inner = _store(path)
+            store, inner = sources.store_of(path)
             with store.open_input_stream(inner) as stream:
                 yield stream
             return
         if path != self.path:
-            store, inner = _store(path)
+            store, inner = sources.store_of(path)
             self.path, self.archive = path, zipfile.ZipFile(store.open_input_file(inner))
         with self.archive.open(entry) as stream:
             yield stream
@@ -85,7 +79,7 @@ def copied(files: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contents = _Contents()
-        store, root = _store(folder)
+        store, root = sources.store_of(folder)
         for batch in batches:
             sizes = []
             for path, entry, name in zip(*(batch[c].to_pylist() for c in ("source_path", "entry", "output_name")), strict=True):
@@ -102,7 +96,7 @@ def copied(files: DataFrame, folder: str) -> DataFrame:
 
 def _existing(spark: SparkSession, folder: str, force: bool) -> DataFrame | None:
     """Files that the target has already, as rows of the collection; None for a new or empty target."""
-    store, root = _store(folder)
+    store, root = sources.store_of(folder)
     there = sorted(x.base_name for x in store.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)) if x.type == pyarrow.fs.FileType.File and not x.base_name.startswith("."))
     if there and not force:
         raise ValueError(f"{folder} isn't empty")

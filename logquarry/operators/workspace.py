@@ -66,14 +66,19 @@ class Workspace:
         (writer.partitionBy(by) if by else writer).parquet(f"{self.folder}/{table}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{table}/current")
 
-    def add(self, sources: DataFrame, events: DataFrame, occurrences: DataFrame) -> None:
-        """Add sources with their events; a source whose content is known already is left out."""
+    def add(self, sources: DataFrame, events: DataFrame, occurrences: DataFrame, gone: DataFrame | None = None) -> None:
+        """Add sources with their events; a source whose content is known already is left out. Those of ``gone`` (``source_id``) go."""
         known = self.read("sources", SOURCES)
+        if gone is not None:
+            known = known.join(gone, "source_id", "left_anti").select(known.columns)
         fresh = sources.join(known.select("sha256"), "sha256", "left_anti").join(known.select("source_id"), "source_id", "left_anti").select(known.columns)
         names = fresh.select("source_id")
         new_events = events.join(names, "source_id", "left_semi")
         old_events, old_occ = self.read("events"), self.read("occurrences")
         new_occ = occurrences.join(new_events.select("event_id"), "event_id", "left_semi")
+        if gone is not None and old_events is not None:
+            lost = old_events.join(gone, "source_id", "left_semi").select("event_id")
+            old_occ, old_events = old_occ.join(lost, "event_id", "left_anti"), old_events.join(gone, "source_id", "left_anti")
         self.write("events", new_events if old_events is None else old_events.unionByName(new_events), "source_id")
         self.write("occurrences", new_occ if old_occ is None else old_occ.unionByName(new_occ))
         self.write("sources", known.unionByName(fresh))

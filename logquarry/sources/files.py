@@ -7,8 +7,10 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from logquarry.functions import names
 
@@ -20,6 +22,35 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a URI and the path inside it; Spark writes local ones with one slash."""
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def with_content(files: DataFrame, path_col: str = "path", limit: int | None = None) -> DataFrame:
+    """``files`` with ``content``, or its first ``limit`` bytes, read by the tasks; null where a file can't be read."""
+    schema = StructType([*files.schema.fields]).add("content", "binary")
+    where = files.columns.index(path_col)
+
+    def read(path: str) -> bytes | None:
+        try:
+            store, inner = store_of(path)
+            with store.open_input_stream(inner) as stream:
+                return stream.read() if limit is None else stream.read(limit)
+        except (OSError, pa.ArrowInvalid):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([read(row.column(where)[0].as_py())], pa.binary())], [*row.schema.names, "content"])
+
+    return files.mapInArrow(run, schema)
+
+
 def _members(archives: DataFrame, with_content: bool) -> DataFrame:
     """A row for each member of each archive, or one with ``error`` for an archive that can't be read."""
     fields = [("source_kind", pa.string()), ("source_path", pa.string()), ("source_name", pa.string()), ("entry", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("error", pa.string())]
