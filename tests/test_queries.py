@@ -40,6 +40,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_growing_copies(spark):
-    rows = {r["cut"]: (r["n"], r["whole"]) for r in entry.queries()["growing_copies"](spark, FOLDER).collect()}
-    assert rows and all(n == whole for n, whole in rows.values())
+def test_growing_copies(spark, duck):
+    """Every cut of a longer file is there, and each file begins the longer one it is joined with."""
+    texts = {i: t.encode() for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()}
+    content = lambda i: texts[i % 10**9][: {0: None, 1: 600, 2: 900}[i // 10**9]]
+    rows = {r["file_id"]: r["longest"] for r in entry.queries()["growing_copies"](spark, FOLDER).collect()}
+    assert {k * 10**9 + i for i, t in texts.items() for k, n in ((1, 600), (2, 900)) if len(t) > n} <= set(rows)
+    assert all(content(of).startswith(content(i)) and len(content(of)) > len(content(i)) for i, of in rows.items())
