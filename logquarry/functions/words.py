@@ -1,0 +1,131 @@
+"""Words of mail text: tokens, fixed phrases and names, for parsers that run in Arrow batches."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+from typing import NamedTuple
+
+_RUN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
+_FOLDED = str.maketrans({"ß": "ss", "ä": "ae", "ö": "oe", "ü": "ue"})
+# Fixed values.
+PARTICLES = frozenset("von van de der den zu zum zur di da del du le la ter ten".split())
+TITLES = frozenset("dr prof dipl ing mag".split())
+BLANKS = frozenset(" \t ")
+
+
+class Token(NamedTuple):
+    text: str
+    start: int
+    end: int
+    #: What stands between the token before and this one.
+    gap: str
+    #: A capital and small letters, also with hyphens: the shape of a name.
+    name: bool
+
+
+def fold(word: str) -> str:
+    return word.lower().translate(_FOLDED)
+
+
+def is_name(word: str) -> bool:
+    return all(len(p) > 1 and p[0].isupper() and p[1:].islower() and p.isalpha() for p in word.split("-"))
+
+
+def tokens(text: str) -> list[Token]:
+    """Letters, digits and single signs. Letters part where a capital follows a small one, as in mails that lost their line breaks."""
+    pieces = []
+    for m in _RUN.finditer(text):
+        run, start = m[0], m.start()
+        if len(run) > 1 and run[0].isalpha():
+            cuts = [0, *(k for k in range(1, len(run)) if run[k].isupper() and run[k - 1].islower()), len(run)]
+            pieces += [(start + a, start + b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        else:
+            pieces.append((start, m.end()))
+    out: list[Token] = []
+    for start, end in pieces:
+        piece = text[start:end]
+        named = is_name(piece)
+        if named and len(out) > 1 and out[-1].text == "-" and out[-2].name and out[-2].end == start - 1 and out[-1].end == start:
+            out.pop()
+            first = out.pop()
+            out.append(Token(text[first.start : end], first.start, end, first.gap, True))
+        else:
+            out.append(Token(piece, start, end, text[out[-1].end : start] if out else text[:start], named))
+    return out
+
+
+def blank(gap: str, single: bool = False) -> bool:
+    """Whether a gap is of blanks without a line end, or of exactly one."""
+    return bool(gap) and BLANKS.issuperset(gap) and (len(gap) == 1 or not single)
+
+
+def begins(found: list[Token], i: int) -> bool:
+    """Whether a word begins at a token, also at a capital glued to a small letter."""
+    if i == 0 or found[i].gap:
+        return True
+    last, first = found[i - 1].text[-1], found[i].text[0]
+    return not (last.isalnum() or last == "_") or last.islower() and first.isupper()
+
+
+class Phrases:
+    """Fixed phrases over folded tokens; the longest one at a place counts."""
+
+    def __init__(self, phrases: Iterable[str]):
+        self.words: set[str] = set()
+        #: The first word of each phrase in small letters, also as it is written without umlauts.
+        self.firsts: set[str] = set()
+        self._by_first: dict[str, list[list[tuple[str, bool]]]] = {}
+        for phrase in phrases:
+            steps = [(fold(t.text), bool(t.gap)) for t in tokens(phrase)]
+            self.words.update(w for w, _ in steps if w.isalpha())
+            self.firsts |= {tokens(phrase)[0].text.lower(), steps[0][0]}
+            self._by_first.setdefault(steps[0][0], []).append(steps)
+        for some in self._by_first.values():
+            some.sort(key=len, reverse=True)
+
+    def end(self, found: list[Token], i: int) -> int | None:
+        """The token behind a phrase that begins at token ``i``."""
+        if i >= len(found):
+            return None
+        for steps in self._by_first.get(fold(found[i].text), ()):
+            if i + len(steps) <= len(found) and all(
+                fold(t.text) == word and (k == 0 or (blank(t.gap) if spaced else t.gap == "")) for k, ((word, spaced), t) in enumerate(zip(steps, found[i:], strict=False))
+            ):
+                return i + len(steps)
+        return None
+
+
+def behind_titles(found: list[Token], i: int) -> int:
+    """The token behind any titles at token ``i``."""
+    while i < len(found) and all(p in TITLES for p in fold(found[i].text).split("-")):
+        j = i + 1
+        while j < len(found) and found[j].gap == "" and (found[j].text in ".-" or fold(found[j].text) in TITLES):
+            j += 1
+        if j >= len(found) or not blank(found[j].gap):
+            break
+        i = j
+    return i
+
+
+def whole_name(found: list[Token], i: int) -> bool:
+    """Whether a token is a name word and not the beginning of a word such as GmbH."""
+    if i >= len(found) or not found[i].name:
+        return False
+    after = found[i + 1] if i + 1 < len(found) else None
+    return after is None or bool(after.gap) or not after.text[0].isupper() or after.name
+
+
+def name_end(found: list[Token], i: int, most: int, single: bool = False) -> int:
+    """The token behind up to ``most`` name words from token ``i`` on, with up to two particles before each but the first; ``i`` if none is there."""
+    if not whole_name(found, i):
+        return i
+    end = i + 1
+    for _ in range(most - 1):
+        j = end
+        while j < len(found) and j < end + 2 and fold(found[j].text) in PARTICLES and found[j].text.islower() and blank(found[j].gap, single):
+            j += 1
+        if j >= len(found) or not blank(found[j].gap, single) or not whole_name(found, j):
+            break
+        end = j + 1
+    return end

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import identifiers as ids
 from logquarry.functions import names
-from logquarry.operators import collecting, exporting, learning, masking, search, sessions, trace
+from logquarry.operators import collecting, learning, masking, search, sessions, trace
 from logquarry.session import settled
 from logquarry.sources import files, lines
 
@@ -133,14 +133,6 @@ def test_names_collide(spark):
     assert out == ["a.log", "A__2.log", "b_.log", "a__3.log", "x__2.log", "x.log", "x__3.log"]
 
 
-def test_export(spark):
-    rows = spark.createDataFrame([(1, "b", 1, 2000, "login 203.0.113.7\nmore"), (2, "a", 5, 1000, "from 203.0.113.8")], "event_id long, source_id string, line_start long, ts_ms long, text string")
-    masked, entries = exporting.export(rows, F.lit(60))
-    texts = [r["masked"] for r in masked.collect()]
-    assert texts == ["[1970-01-01 01:00:01.000 +01:00] Q1 from [IPv4-002]", "[1970-01-01 01:00:02.000 +01:00] Q2 login [IPv4-001]\n    more"]
-    assert exporting.readable(masked).count() == 0
-
-
 @pytest.mark.parametrize("query, hits", [("select inbox", 1), ("Authenticat*", 1), ("View=Main", 1), ("missing", 0)])
 def test_text_search(spark, query, hits):
     df = spark.createDataFrame([("SELECT INBOX",), ("Authenticated as x",), ("GET /?View=Main&x",)], "text string")
@@ -228,17 +220,6 @@ def test_growing_copies(spark):
     assert {r["file_id"]: r["longest"] for r in collecting.growing_copies(files).collect()} == want
 
 
-def test_export_is_refused(spark):
-    rows = spark.createDataFrame([(1, "b", 1, 2000, "device DEVICE77 of ann@x.example")], "event_id long, source_id string, line_start long, ts_ms long, text string")
-    options = masking.Options(keep_domains=("host.example",))
-    known = spark.createDataFrame([("email", "ann@x.example", False), ("domain", "mail.host.example", False)], "kind string, value string, generic boolean")
-    masked, _ = exporting.export(rows, F.lit(0), options, identifiers=known)
-    assert "ann@" not in masked.first()["masked"]
-    kept = rows.withColumn("text", F.lit("at mail.host.example"))
-    masked, _ = exporting.export(kept, F.lit(0), options, identifiers=known)
-    assert masked.first()["masked"].endswith("at [WERT]")
-
-
 @pytest.mark.parametrize("text, want", [
     ("a@b.example, x.y@sub.host.example-", [("email", "a@b.example"), ("email", "x.y@sub.host.example")]),
     ("a..b@x.example .c@y.example", []),
