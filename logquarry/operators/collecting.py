@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from logquarry.functions.names import type_matches
+from logquarry.operators import growing
 
 MANIFEST = ["Status", "Date", "LogType", "OutputName", "OriginalName", "SourceKind", "SourceName", "ArchiveEntry", "Bytes", "SHA256", "Error"]
 
@@ -103,33 +100,6 @@ def manifest_rows(rows: DataFrame, bad: DataFrame, order: str) -> DataFrame:
     return bad.select(*columns(0, Status=F.lit("ArchiveError"), Bytes=F.lit("0"), Error=text("error"), **source)).union(good)
 
 
-@F.pandas_udf(ArrayType(StructType().add("short_size", LongType()).add("sha", StringType())))
-def _beginnings(contents: pd.Series, sizes: pd.Series) -> pd.Series:
-    """Digests of a content's beginnings of the given sizes, in one pass over its bytes; ``sizes`` ascend."""
-
-    def one(content: bytes, lengths) -> list[dict]:
-        digest, at, out = hashlib.sha256(), 0, []
-        for n in (int(n) for n in lengths):
-            if n > len(content):
-                break
-            digest.update(content[at:n])
-            at = n
-            out.append({"short_size": n, "sha": digest.hexdigest()})
-        return out
-
-    return pd.Series([one(c, n) for c, n in zip(contents, sizes, strict=True)], dtype=object)
-
-
-def growing_copies(files: DataFrame, key_bytes: int = 512) -> DataFrame:
-    """``file_id`` and ``longest``: the longest file each is a beginning of (``content`` as binary, ``size``).
-
-    Candidates share their first bytes. The sizes that occur among those go to
-    each file, which takes the digests of all its beginnings in one pass; only
-    digests are compared.
-    """
-    keyed = files.where(F.col("size") >= key_bytes).select("file_id", "size", "content", F.sha2(F.substring("content", 1, key_bytes), 256).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
-    heads = keyed.join(sizes, "key").select("key", "file_id", "size", F.inline(_beginnings("content", "sizes")))
-    short = heads.where("short_size = size").select(F.col("file_id").alias("short_id"), "key", "short_size", "sha")
-    best = heads.where("short_size < size").groupBy("key", "short_size", "sha").agg(F.max(F.struct("size", "file_id")).alias("best"))
-    return short.join(best, ["key", "short_size", "sha"]).select(F.col("short_id").alias("file_id"), F.col("best.file_id").alias("longest"))
+def growing_copies(files: DataFrame, key_bytes: int = growing.START) -> DataFrame:
+    """``file_id`` and ``longest``: the longest file each is a beginning of (``content`` as binary, ``size``); see ``growing``."""
+    return growing.growing_copies(files, growing.of_contents(files), key_bytes)

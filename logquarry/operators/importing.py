@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions import names
-from logquarry.operators import collecting, entities, formats, sessions, timeline
+from logquarry.operators import entities, formats, growing, sessions, timeline
 from logquarry.operators.workspace import SOURCES, Workspace
 from logquarry.session import settled
-from logquarry.sources import files, lines
+from logquarry.sources import files, lines, ranges
 
 #: Bytes that copies of a growing log share at the least.
 START = 512
@@ -38,9 +38,9 @@ def judged(spark: SparkSession, space: Workspace, priority: list[str], backgroun
     found = _read(spark, priority, 0, extensions)
     if background:
         found = found.unionByName(_read(spark, background, 1, extensions)).groupBy("path", "size").agg(F.min("phase").alias("phase"))
-    contents = files.with_content(found)
-    failed = F.col("content").isNull()
-    read = settled(contents.select(*found.columns, failed.alias("failed"), collecting.content_hash(F.col("content")).alias("sha256"), lines.detected_encoding(F.col("content")).alias("encoding")))
+    # A hash of a file's path deals files to tasks: their rows are small, their contents aren't.
+    digests = files.with_digest(found.repartition(max(1, found.rdd.getNumPartitions()), "path"), lines.SAMPLE_BYTES)
+    read = settled(digests.select(*found.columns, F.col("head").isNull().alias("failed"), "sha256", ranges.encoding_of(F.col("head")).alias("encoding")))
     bad, read = read.where("failed").drop("failed"), read.where("not failed").drop("failed")
     known = space.read("sources", SOURCES)
     order = F.struct("phase", "path")
@@ -50,12 +50,12 @@ def judged(spark: SparkSession, space: Workspace, priority: list[str], backgroun
     read = read.withColumn("same", F.coalesce("there", F.when(F.col("first.path") != F.col("path"), F.col("first.path")))).drop("first", "there")
 
     # Growing copies among the files that stay and the known ones that begin like one of them.
-    fresh = read.where("same is null").select("path")
-    old = known.select(F.col("source_id").alias("path"))
-    starts = lambda df: files.with_content(df, limit=START).where(F.length("content") == START).select("path", F.sha2("content", 256).alias("start"))
-    alike = starts(old).join(starts(fresh).select("start").distinct(), "start", "left_semi").select("path")
-    both = files.with_content(settled(fresh.unionByName(alike)).repartition("path")).where("content is not null")
-    grown = collecting.growing_copies(both.select(F.col("path").alias("file_id"), "content", F.length("content").cast("long").alias("size")), START)
+    fresh = read.where("same is null").select("path", "size")
+    old = known.select(F.col("source_id").alias("path"), "size")
+    starts = lambda df: files.with_content(df, limit=START).where(F.length("content") == START).select("path", "size", F.sha2("content", 256).alias("start"))
+    alike = starts(old).join(starts(fresh).select("start").distinct(), "start", "left_semi").select("path", "size")
+    both = settled(fresh.unionByName(alike)).select(F.col("path").alias("file_id"), "size")
+    grown = growing.growing_copies(both.repartition(max(1, found.rdd.getNumPartitions()), "file_id"), start=START)
     old = known.select("source_id", F.lit(True).alias("old"))
     grown = settled(grown.join(old.withColumnRenamed("source_id", "file_id"), "file_id", "left"))
     longer = grown.where("old is null").select(F.col("file_id").alias("path"), F.col("longest").alias("within"))
@@ -71,9 +71,7 @@ def judged(spark: SparkSession, space: Workspace, priority: list[str], backgroun
 
 def read_events(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events of files (``path``, ``encoding``), and each file's layout. A file's day in its name dates lines that only have a clock."""
-    texts = files.with_content(chosen.select("path", "encoding"))
-    texts = texts.select("path", F.regexp_replace(lines.decoded(F.col("content"), F.col("encoding")), "^﻿", "").alias("text"))
-    rows = settled(lines.lines_of(texts, "path", F.col("text")))
+    rows = settled(ranges.read(chosen.select("path", "size", "encoding")).drop("offset"))
     layouts = settled(formats.detect(rows))
     dates = chosen.select(F.col("path").alias("source_id"), names.date_from_name(F.col("path")).alias("file_date"))
     events = None

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions.names import leaf
+from logquarry.sources.lines import encoded
 
 
 def write_files(files: DataFrame, folder: str, force: bool = False) -> DataFrame:
@@ -55,7 +56,7 @@ def masked_files(lines: DataFrame, endings: DataFrame, encoding: str = "utf-8")
     """
     rows = lines.join(endings, ["source_id", "line_no"], "left")
     whole = rows.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.concat("masked", F.coalesce("ending", F.lit(""))).alias("t")))).alias("x"))
-    return whole.select(masked_name(F.col("source_id")).alias("output_name"), F.encode(F.array_join(F.col("x.t"), ""), encoding).alias("content"))
+    return whole.select(masked_name(F.col("source_id")).alias("output_name"), encoded(F.array_join(F.col("x.t"), ""), F.lit(encoding)).alias("content"))
 
 
 def line_endings(files: DataFrame, id_col: str, text_col: str) -> DataFrame:

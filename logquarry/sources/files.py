@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -51,6 +52,34 @@ def with_content(files: DataFrame, path_col: str = "path", limit: int | None = N
     return files.mapInArrow(run, schema)
 
 
+def with_digest(files: DataFrame, head: int = 1 << 20, path_col: str = "path") -> DataFrame:
+    """``files`` with ``sha256`` (capitals) of the whole content and its first ``head`` bytes, read piece by piece; null where a file can't be read."""
+    schema = StructType([*files.schema.fields]).add("sha256", "string").add("head", "binary")
+    where = files.columns.index(path_col)
+
+    def read(path: str) -> tuple[str | None, bytes | None]:
+        digest = hashlib.sha256()
+        try:
+            store, inner = store_of(path)
+            with store.open_input_stream(inner) as stream:
+                first = piece = stream.read(head)
+                while piece:
+                    digest.update(piece)
+                    piece = stream.read(4 << 20)
+        except (OSError, pa.ArrowInvalid):
+            return None, None
+        return digest.hexdigest().upper(), first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                sha, first = read(row.column(where)[0].as_py())
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([sha], pa.string()), pa.array([first], pa.binary())], [*row.schema.names, "sha256", "head"])
+
+    return files.mapInArrow(run, schema)
+
+
 def _members(archives: DataFrame, with_content: bool) -> DataFrame:
     """A row for each member of each archive, or one with ``error`` for an archive that can't be read."""
     fields = [("source_kind", pa.string()), ("source_path", pa.string()), ("source_name", pa.string()), ("entry", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("error", pa.string())]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import codecs
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 # Fixed values.
 ENCODING_ALIASES = {"ansi": "cp1252", "latin1": "iso-8859-1", "unicode": "utf-16", "utf8": "utf-8", "ascii": "ascii"}
@@ -43,10 +44,53 @@ def checking_encoding(content: Column, encoding: str = "auto") -> Column:
     return F.when((found == "cp1252") & F.is_valid_utf8(content.cast("string")), "utf-8").otherwise(found)
 
 
+#: Bytes that can't be decoded become these characters of private use, one each; a text's own ones become their bytes.
+KEPT_BYTES = 0xF0000
+_RESERVED = re.compile(rb"(?:\xf3\xb0[\x80-\x83][\x80-\xbf])+")
+
+
+def _keep_bytes(error: UnicodeError) -> tuple[str, int]:
+    if not isinstance(error, UnicodeDecodeError):
+        raise error
+    return "".join(chr(KEPT_BYTES | b) for b in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("keepbytes", _keep_bytes)
+
+
+def decode(data: bytes, encoding: str) -> str:
+    """Bytes as text from which ``encode`` makes the same bytes, whether they can be decoded or not."""
+    if encoding.lower().startswith("utf-8") and _RESERVED.search(data):
+        out, at = [], 0
+        for m in _RESERVED.finditer(data):
+            out += [codecs.decode(data[at : m.start()], encoding, "keepbytes"), "".join(chr(KEPT_BYTES | b) for b in m[0])]
+            at = m.end()
+        return "".join(out) + codecs.decode(data[at:], "utf-8", "keepbytes")
+    return codecs.decode(data, encoding, "keepbytes")
+
+
+def encode(text: str, encoding: str) -> bytes:
+    """The bytes of a text; those that ``decode`` kept come back."""
+    pieces = _KEPT.split(text)
+    if len(pieces) == 1:
+        return codecs.encode(text, encoding, "replace")
+    plain = encoding.lower().replace("utf-8-sig", "utf-8")
+    return b"".join(bytes(ord(c) & 0xFF for c in p) if k % 2 else codecs.encode(p, plain if k else encoding, "replace") for k, p in enumerate(pieces))
+
+
+_KEPT = re.compile(f"([{chr(KEPT_BYTES)}-{chr(KEPT_BYTES | 0xFF)}]+)")
+
+
 @F.pandas_udf(StringType())
 def decoded(content: pd.Series, encoding: pd.Series) -> pd.Series:
-    """Bytes as text; what can't be decoded becomes the replacement character."""
-    return pd.Series([None if c is None else codecs.decode(bytes(c), e, "replace") for c, e in zip(content, encoding, strict=True)], dtype=object)
+    """Bytes as text, see ``decode``."""
+    return pd.Series([None if c is None else decode(bytes(c), e) for c, e in zip(content, encoding, strict=True)], dtype=object)
+
+
+@F.pandas_udf(BinaryType())
+def encoded(text: pd.Series, encoding: pd.Series) -> pd.Series:
+    """Text as bytes, see ``encode``."""
+    return pd.Series([None if t is None else encode(t, e) for t, e in zip(text, encoding, strict=True)], dtype=object)
 
 
 def lines_of(files: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -64,11 +108,11 @@ def line_ending(raw: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Lines of all files below ``path``; ``source_id`` is the file's URI."""
+    """Lines of all files below ``path``, whatever their size; ``source_id`` is the file's URI."""
+    from logquarry.sources import ranges
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    text = decoded(F.col("content"), detected_encoding(F.col("content")))
-    files = files.select("path", F.regexp_replace(text, "^﻿", "").alias("text"))
-    return lines_of(files, "path", F.col("text"))
+    return ranges.read(ranges.with_encoding(files.select("path", F.col("length").alias("size")))).drop("offset")
 
 
 def context_window(lines: DataFrame, events: DataFrame, before: int = 6, after: int = 6) -> DataFrame:
