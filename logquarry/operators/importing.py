@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions import names
-from logquarry.operators import entities, formats, growing, sessions, timeline
+from logquarry.operators import entities, formats, growing, scanning, sessions, timeline
 from logquarry.operators.workspace import SOURCES, Workspace
 from logquarry.session import settled
 from logquarry.sources import files, lines, ranges
@@ -23,11 +23,25 @@ EVENT_LOG = "mdaemon"
 
 
 def _read(spark: SparkSession, paths: list[str], phase: int, extensions: list[str] | None) -> DataFrame:
-    return files.sources(spark, paths, extensions).select("path", F.col("length").alias("size"), F.lit(phase).alias("phase"))
+    return files.sources(spark, paths, extensions).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified"), F.lit(phase).alias("phase"))
 
 
-def judged(spark: SparkSession, space: Workspace, priority: list[str], background: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
-    """What is to happen with each file: ``path``, ``size``, ``phase`` (0 first, 1 later), ``sha256``, ``encoding``, ``outcome``, ``other``.
+def _planned(scanned: DataFrame, window: scanning.Window) -> DataFrame:
+    """The files of a scan that are to be read, those that come first in phase 0."""
+    rows = scanning.plan(scanned, window).where("plan <> 'skip'")
+    return rows.select("path", "size", "modified", F.when(F.col("plan") == "first", 0).otherwise(1).alias("phase"))
+
+
+def chosen_files(spark: SparkSession, priority: list[str], background: list[str] | None = None, extensions: list[str] | None = None) -> DataFrame:
+    """``path``, ``size``, ``modified`` and ``phase`` of the files below the given paths; one below both comes first."""
+    found = _read(spark, priority, 0, extensions)
+    if background:
+        found = found.unionByName(_read(spark, background, 1, extensions)).groupBy("path", "size", "modified").agg(F.min("phase").alias("phase"))
+    return found
+
+
+def judged(space: Workspace, found: DataFrame) -> DataFrame:
+    """What is to happen with each file of ``chosen_files``: with ``sha256``, ``encoding``, ``outcome``, ``other``.
 
     ``duplicate``: the content is known or that of an earlier file (``other``).
     ``continued``: a longer file (``other``) begins with it; the longer one
@@ -35,9 +49,6 @@ def judged(spark: SparkSession, space: Workspace, priority: list[str], backgroun
     read. Everything else is ``imported``; ``replaces`` lists the known sources
     that begin it.
     """
-    found = _read(spark, priority, 0, extensions)
-    if background:
-        found = found.unionByName(_read(spark, background, 1, extensions)).groupBy("path", "size").agg(F.min("phase").alias("phase"))
     # A hash of a file's path deals files to tasks: their rows are small, their contents aren't.
     digests = files.with_digest(found.repartition(max(1, found.rdd.getNumPartitions()), "path"), lines.SAMPLE_BYTES)
     read = settled(digests.select(*found.columns, F.col("head").isNull().alias("failed"), "sha256", ranges.encoding_of(F.col("head")).alias("encoding")))
@@ -65,8 +76,8 @@ def judged(spark: SparkSession, space: Workspace, priority: list[str], backgroun
     read = read.join(raised, "path", "left").withColumn("phase", F.least("phase", F.coalesce("raised", "phase")))
     outcome = F.when(F.col("same").isNotNull(), "duplicate").when(F.col("within").isNotNull(), "continued").otherwise("imported")
     none = F.array().cast("array<string>")
-    good = read.select("path", "size", "phase", "sha256", "encoding", outcome.alias("outcome"), F.coalesce("same", "within").alias("other"), F.coalesce("replaces", none).alias("replaces"))
-    return settled(good.unionByName(bad.select("path", "size", "phase", "sha256", "encoding", F.lit("failed").alias("outcome"), F.lit(None).cast("string").alias("other"), none.alias("replaces"))))
+    good = read.select("path", "size", "modified", "phase", "sha256", "encoding", outcome.alias("outcome"), F.coalesce("same", "within").alias("other"), F.coalesce("replaces", none).alias("replaces"))
+    return settled(good.unionByName(bad.select("path", "size", "modified", "phase", "sha256", "encoding", F.lit("failed").alias("outcome"), F.lit(None).cast("string").alias("other"), none.alias("replaces"))))
 
 
 def read_events(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +102,17 @@ def identified(events: DataFrame) -> DataFrame:
 def import_paths(
     spark: SparkSession, space: Workspace, priority: list[str], background: list[str] | None = None, extensions: list[str] | None = None, choice: str = "auto", region: str = "UTC"
 ) -> DataFrame:
-    """Read files into ``space``, the priority ones first, and report what became of each.
+    """``import_files`` of the files below the given paths, those of ``priority`` first."""
+    return import_files(space, chosen_files(spark, priority, background, extensions), choice, region)
+
+
+def import_scanned(space: Workspace, scanned: DataFrame, window: scanning.Window, choice: str = "auto", region: str = "UTC") -> DataFrame:
+    """``import_files`` of what a scan's plan wants: kinds and times of ``window`` first, the rest later or never."""
+    return import_files(space, _planned(scanned, window), choice, region)
+
+
+def import_files(space: Workspace, found: DataFrame, choice: str = "auto", region: str = "UTC") -> DataFrame:
+    """Read files (``chosen_files``) into ``space``, those of phase 0 first, and report what became of each.
 
     Returns ``path``, ``phase`` (``priority`` or ``background``), ``outcome``
     (``imported``, ``duplicate``, ``continued``, ``failed``, ``replaced``) and ``other``: the
@@ -100,7 +121,7 @@ def import_paths(
     source it replaces. Contexts that turn out to be workers are dissolved.
     Empty files aren't listed, as Spark leaves them out of any scan.
     """
-    plan = judged(spark, space, priority, background, extensions)
+    plan = judged(space, found)
     for phase in (0, 1):
         chosen = plan.where((F.col("outcome") == "imported") & (F.col("phase") == phase))
         if chosen.isEmpty():
@@ -113,7 +134,7 @@ def import_paths(
         fresh = chosen.join(layouts.withColumnRenamed("source_id", "path"), "path", "left").join(taken, "path", "left")
         fresh = fresh.select(
             F.col("path").alias("source_id"), F.substring_index("path", "/", -1).alias("name"), F.coalesce("layout", F.lit("generic")).alias("layout"), "encoding", "sha256", "size", F.lit(None).cast("int").alias("detected_offset"),
-            F.coalesce("s.tz_mode", F.lit("auto")).alias("tz_mode"), F.col("s.tz_offset").alias("tz_offset"), F.coalesce("s.skew_ms", F.lit(0)).cast("long").alias("skew_ms"),
+            F.coalesce("s.tz_mode", F.lit("auto")).alias("tz_mode"), F.col("s.tz_offset").alias("tz_offset"), F.coalesce("s.skew_ms", F.lit(0)).cast("long").alias("skew_ms"), "modified",
         )
         fresh = settled(fresh)
         timed = timeline.resolve(events, fresh, timeline.default_zone(timeline.stated_zones(events, fresh), choice), region)

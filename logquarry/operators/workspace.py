@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.operators import entities as ent
 from logquarry.operators import timeline
 
-SOURCES = "source_id string, name string, layout string, encoding string, sha256 string, size long, detected_offset int, tz_mode string, tz_offset int, skew_ms long"
+SOURCES = "source_id string, name string, layout string, encoding string, sha256 string, size long, detected_offset int, tz_mode string, tz_offset int, skew_ms long, modified long"
 DECISIONS = "kind string, a_kind string, a_value string, b_kind string, b_value string"
 _NAME = re.compile(r"[a-z0-9][a-z0-9-]{0,63}")
 
@@ -34,6 +34,11 @@ def _readable(space: Workspace) -> bool:
         return False
 
 
+def with_columns(sources: DataFrame) -> DataFrame:
+    """A table of sources with the time of their files' last change, which older tables lack."""
+    return sources if "modified" in sources.columns else sources.withColumn("modified", F.lit(None).cast("long"))
+
+
 class Workspace:
     """Tables below one folder. Every change writes a new version of a table and then points to it, so a failed write leaves the old one."""
 
@@ -68,7 +73,8 @@ class Workspace:
 
     def add(self, sources: DataFrame, events: DataFrame, occurrences: DataFrame, gone: DataFrame | None = None) -> None:
         """Add sources with their events; a source whose content is known already is left out. Those of ``gone`` (``source_id``) go."""
-        known = self.read("sources", SOURCES)
+        known = with_columns(self.read("sources", SOURCES))
+        sources = with_columns(sources)
         if gone is not None:
             known = known.join(gone, "source_id", "left_anti").select(known.columns)
         fresh = sources.join(known.select("sha256"), "sha256", "left_anti").join(known.select("source_id"), "source_id", "left_anti").select(known.columns)

@@ -139,37 +139,3 @@ def sources(spark: SparkSession, paths: list[str], extensions: list[str] | None
     if found is None:
         raise ValueError("no paths")
     return found.dropDuplicates(["path"])
-
-
-def peek(spark: SparkSession, path: str, key_bytes: int = 512) -> DataFrame:
-    """A quick look at each file: size, time, day, kind, encoding and a key of its first bytes."""
-    from logquarry.sources.lines import detected_encoding
-
-    return _files(spark, path).select(
-        "path",
-        F.col("length").alias("size"),
-        "modificationTime",
-        names.date_from_name(F.col("path")).alias("day"),
-        names.source_kind(F.col("path")).alias("kind"),
-        detected_encoding(F.col("content")).alias("encoding"),
-        F.sha2(F.substring("content", 1, key_bytes), 256).alias("start_key"),
-    )
-
-
-def scan_groups(peeked: DataFrame, times: DataFrame) -> DataFrame:
-    """Rollup of a scan by kind; ``times`` has ``path``, ``format``, ``first_ms``, ``last_ms``."""
-    return (
-        peeked.join(times, "path", "left")
-        .groupBy("kind")
-        .agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sort_array(F.collect_set("format")).alias("formats"))
-    )
-
-
-def import_plan(files: DataFrame, first_types: list[str], window_from: int | None, window_to: int | None, outside: str = "background") -> DataFrame:
-    """``plan`` of each file (``kind``, ``first_ms``, ``last_ms``, ``imported``, ``error``): first, background or skip.
-
-    Files without times are always in the window; ``outside`` says what happens to those beyond it.
-    """
-    inside = F.col("first_ms").isNull() | ((F.col("last_ms") >= F.lit(window_from if window_from is not None else -(1 << 62))) & (F.col("first_ms") <= F.lit((window_to if window_to is not None else 1 << 61) + 999)))
-    plan = F.when(F.col("imported") | F.col("error").isNotNull(), "skip").when(~inside, outside).when(F.col("kind").isin(first_types), "first").otherwise("background")
-    return files.withColumn("plan", plan)
