@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions import names
+from logquarry.functions.numbering import ranked
 from logquarry.operators import entities, formats, growing, scanning, sessions, timeline
-from logquarry.operators.workspace import SOURCES, Workspace
+from logquarry.operators.workspace import SOURCES, Workspace, event_id
 from logquarry.session import settled
 from logquarry.sources import files, lines, ranges
 
@@ -93,10 +94,11 @@ def read_events(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, layouts.select("source_id", "layout")
 
 
-def identified(events: DataFrame) -> DataFrame:
-    """``events`` with ``event_id``, from source and first line, and ``ctx``: the context under its source."""
+def identified(events: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``events`` with ``event_id``, from the number of the source (``source_id``, ``number``) and the first line, and ``ctx``: the context under its source."""
     where = F.when(F.col("context").isNotNull(), F.concat_ws("|", "source_id", "context"))
-    return events.withColumn("event_id", F.xxhash64("source_id", "line_start")).withColumn("ctx", where)
+    told = events.join(numbers, "source_id").withColumn("event_id", event_id(F.col("number"), F.col("line_start"))).drop("number")
+    return told.withColumn("ctx", where)
 
 
 def import_paths(
@@ -126,8 +128,9 @@ def import_files(space: Workspace, found: DataFrame, choice: str = "auto", regio
         chosen = plan.where((F.col("outcome") == "imported") & (F.col("phase") == phase))
         if chosen.isEmpty():
             continue
+        numbers = settled(ranked(chosen.select(F.col("path").alias("source_id")), ["source_id"]).withColumn("number", F.col("number") + (space.next_number() - 1)))
         events, layouts = read_events(chosen)
-        events = settled(identified(events))
+        events = settled(identified(events, numbers))
         known = space.read("sources", SOURCES)
         replaces = chosen.select("path", F.explode("replaces").alias("source_id"))
         taken = replaces.join(known, "source_id").groupBy("path").agg(F.max_by(F.struct("tz_mode", "tz_offset", "skew_ms"), "size").alias("s"))
@@ -136,7 +139,7 @@ def import_files(space: Workspace, found: DataFrame, choice: str = "auto", regio
             F.col("path").alias("source_id"), F.substring_index("path", "/", -1).alias("name"), F.coalesce("layout", F.lit("generic")).alias("layout"), "encoding", "sha256", "size", F.lit(None).cast("int").alias("detected_offset"),
             F.coalesce("s.tz_mode", F.lit("auto")).alias("tz_mode"), F.col("s.tz_offset").alias("tz_offset"), F.coalesce("s.skew_ms", F.lit(0)).cast("long").alias("skew_ms"), "modified",
         )
-        fresh = settled(fresh)
+        fresh = settled(fresh.join(numbers, "source_id"))
         timed = timeline.resolve(events, fresh, timeline.default_zone(timeline.stated_zones(events, fresh), choice), region)
         workers = sessions.limit_workers(timed).where("worker is not null").select(F.col("worker").alias("ctx")).distinct()
         limited = events.join(workers.withColumn("_worker", F.lit(True)), "ctx", "left")
