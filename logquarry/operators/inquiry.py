@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.functions import identifiers as ids
+from logquarry.operators import entities as ent
 from logquarry.operators import graph, search
 from logquarry.operators import trace as tr
 from logquarry.session import settled
@@ -61,6 +63,20 @@ def event_detail(events: DataFrame, occ: DataFrame, entities: DataFrame, event_i
     return one, named, search.in_order(beside)
 
 
+def event_spans(events: DataFrame, event_id: int) -> DataFrame:
+    """``start``, ``end``, ``kind`` and ``value`` of the identifiers in an event's text, to be marked in it."""
+    found = events.where(F.col("event_id") == event_id).select(F.explode(ent.find(F.col("text"))).alias("f"))
+    value = ent.normal(F.col("f.kind"), F.col("f.raw"))
+    kind = F.when(F.col("f.kind").isin("ipv4", "ipv6"), ids.ip_kind(value)).otherwise(F.col("f.kind"))
+    return found.select(F.col("f.start").alias("start"), F.col("f.end").alias("end"), kind.alias("kind"), value.alias("value")).where("value is not null").orderBy("start")
+
+
+def event_context(events: DataFrame, event_id: int) -> DataFrame:
+    """``ctx``, ``size`` and ``label`` of the context an event is in; a block of lines has no name of its own."""
+    one = events.where((F.col("event_id") == event_id) & F.col("ctx").isNotNull()).select("ctx", F.coalesce("context_label", F.lit("processing block")).alias("label"))
+    return events.join(one, "ctx").groupBy("ctx", "label").agg(F.count("*").alias("size"))
+
+
 def event_lines(events: DataFrame, lines: DataFrame, event_id: int, around: int = 6) -> DataFrame:
     """The event's lines in its file with some before and behind, in order."""
     return context_window(lines, events.where(F.col("event_id") == event_id), around, around).orderBy("line_no")

@@ -82,7 +82,21 @@ def capped_count(events: DataFrame) -> DataFrame:
     return events.limit(COUNT_CAP + 1).agg(F.count("*").alias("hits"))
 
 
-_LEADING_TIME = r"^\s*\[?(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) )?\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?\]?:?\s*"
+# A line's own stamp, as the layouts write it, with the level behind a column's bar.
+_CLOCK = r"\d\d:\d\d:\d\d(?:[.,]\d+)?"
+_WEEKDAY = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
+_STAMPS = (
+    rf"\[?(?:{_WEEKDAY} )?\d{{4}}[-/]\d\d[-/]\d\d[T ]{_CLOCK}(?:Z|[+-]\d\d:?\d\d)?\]?:?(?: \| \w+ \|)?",
+    r"\d{6} \d{9}",
+    rf"{_WEEKDAY} \w{{3}} [ \d]\d {_CLOCK} \d{{4}} ->",
+    rf"\d\d\.\d\d\.\d{{4}}[ ,]+{_CLOCK}",
+)
+
+
+def summary(text: Column) -> Column:
+    """The beginning of an event's first line without its stamp, which lists show in a column of its own."""
+    first = F.substring_index(text, "\n", 1)
+    return F.substring(F.regexp_replace(first, rf"^\s*(?:{'|'.join(_STAMPS)})\s*", ""), 1, SUMMARY_CHARS)
 
 
 def event_rows(events: DataFrame, occ: DataFrame) -> DataFrame:
@@ -90,7 +104,7 @@ def event_rows(events: DataFrame, occ: DataFrame) -> DataFrame:
     chips = occ.join(events.select("event_id"), "event_id").where(~F.col("kind").isin(*WEAK_KINDS))
     chips = chips.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("kind", "value", "display"))), 1, CHIPS).alias("chips"))
     first = F.substring_index("text", "\n", 1)
-    return events.join(chips, "event_id", "left").withColumn("first_line", first).withColumn("summary", F.substring(F.regexp_replace(first, _LEADING_TIME, ""), 1, SUMMARY_CHARS))
+    return events.join(chips, "event_id", "left").withColumn("first_line", first).withColumn("summary", summary(F.col("text")))
 
 
 def candidates(text: Column) -> Column:

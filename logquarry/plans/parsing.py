@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from logquarry.operators import formats, sessions
+from logquarry.operators import formats, search, sessions
 from logquarry.plans.tables import EVENTS_SQL
 from logquarry.sources import rendered
 
@@ -28,6 +28,15 @@ def format_detect(spark, sf_dir):
     return formats.detect(lines).select("source_id", "layout", F.round("score", 6).alias("score"))
 
 
+def summaries(spark, sf_dir):
+    """Lines of several layouts as lists show them, without their stamps."""
+    lines = None
+    for layout in ("pipe", "component", "ctime", "german", "iso"):
+        some = rendered.lines(spark, sf_dir, layout)
+        lines = some if lines is None else lines.union(some)
+    return lines.select((F.col("line_no") - 1).alias("event_id"), F.col("source_id").alias("layout"), search.summary(F.col("text")).alias("summary"))
+
+
 def session_blocks(spark, sf_dir):
     """Every context as a session: its number, its lines, a delimiter."""
     rows = rendered.events(spark, sf_dir)
@@ -67,6 +76,7 @@ def continuation_join(spark, sf_dir):
 
 
 QUERIES = {
+    "summaries": summaries,
     "parse_pipe": _parsed("pipe", "etype", _first("ipv4"), _first("status")),
     "parse_component": _parsed("component", "etype", _first("email"), "context"),
     "parse_bracket": _parsed("bracket", "etype", _first("ipv4"), "context"),
@@ -93,6 +103,11 @@ def _syslog(spark, sf_dir):
 _SEC = "CAST(epoch_us(date_trunc('second', ts)) AS BIGINT)"
 _STATUS = "CASE WHEN severity = 3 THEN 'HTTP 503' ELSE 'HTTP 200' END"
 ORACLES = {
+    "summaries": f"""WITH {EVENTS_SQL}, e AS (SELECT *, CASE severity WHEN 3 THEN 'ERROR ' ELSE 'note ' END || account AS noted FROM ev)
+SELECT event_id, 'pipe' AS layout, CASE severity WHEN 3 THEN '503' ELSE '200' END || ' Reply: GET /' || event_type || '/' || event_id || ' from ::ffff:' || ip AS summary FROM e
+UNION ALL SELECT event_id, 'component', CASE severity WHEN 3 THEN 'E [' ELSE 'I [' END || printf('%08X', user_id) || '] 0x41330080 Authenticated: ' || account FROM e
+UNION ALL SELECT event_id, 'ctime', CASE severity WHEN 3 THEN 'scan failed for ' ELSE 'scanned for ' END || account FROM e
+UNION ALL SELECT event_id, 'german', noted FROM e UNION ALL SELECT event_id, 'iso', noted FROM e""",
     "parse_pipe": f"WITH {EVENTS_SQL} SELECT event_id, epoch_us(ts) AS wall_us, severity, 'http.request' AS etype, ip AS ipv4, {_STATUS} AS status FROM ev",
     "parse_component": f"WITH {EVENTS_SQL} SELECT event_id, ts_ms * 1000 AS wall_us, severity, 'auth.ok' AS etype, account AS email, 'req:0:' || printf('%08X', user_id) AS context FROM ev",
     "parse_bracket": f"WITH {EVENTS_SQL} SELECT event_id, {_SEC} AS wall_us, severity, 'http.request' AS etype, ip AS ipv4, 'req:0:REQ' || printf('%09d', event_id) AS context FROM ev",

@@ -317,3 +317,28 @@ def test_investigations(spark, tmp_path):
 def test_copy_labels(spark):
     rows = spark.createDataFrame([("a/b/x.log", "c/x.log"), ("x.log", "c/x.log"), ("a/y.log", "c/x.log")], "p string, o string")
     assert [r[0] for r in rows.select(names.copy_label(F.col("p"), F.col("o"))).collect()] == ["b/x.log", "x.log", "y.log"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2026-10-21 15:40:43.123 | WARNING | login of x\nmore", "login of x"),
+    ("[Wed 2026-10-21 15:40:43] INFO, x", "INFO, x"),
+    ("2026-10-21T15:40:43,5+02:00: x", "x"),
+    ("261021 154043123 E [0000ABCD] oops", "E [0000ABCD] oops"),
+    ("Wed Oct  1 15:40:43 2026 -> scanned", "scanned"),
+    ("21.10.2026, 15:40:43 ERROR x", "ERROR x"),
+    ("no stamp 2026-10-21 15:40:43", "no stamp 2026-10-21 15:40:43"),
+])
+def test_summaries(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(search.summary(F.col("t"))).first()[0] == want
+
+
+def test_event_spans_and_context(spark):
+    from logquarry.operators import inquiry
+
+    rows = [(1, "s", "login a@b.example from 203.0.113.7:993", "s|req:1", "Request 1"), (2, "s", "x", "s|req:1", "Request 1"), (3, "s", "y", "s|b", None), (4, "s", "z", None, None)]
+    events = spark.createDataFrame(rows, "event_id long, source_id string, text string, ctx string, context_label string")
+    text = rows[0][2]
+    found = inquiry.event_spans(events, 1).collect()
+    assert [(text[r["start"] : r["end"]], r["kind"], r["value"]) for r in found] == [("a@b.example", "email", "a@b.example"), ("203.0.113.7", "ipv4", "203.0.113.7"), ("203.0.113.7:993", "port", "993")]
+    got = [[tuple(r) for r in inquiry.event_context(events, k).collect()] for k in (1, 3, 4)]
+    assert got == [[("s|req:1", "Request 1", 2)], [("s|b", "processing block", 1)], []]
