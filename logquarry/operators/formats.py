@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import times
-from logquarry.functions.running import carry_last
+from logquarry.functions.running import carry_last, running
 from logquarry.operators import rules
 from logquarry.session import settled
 from logquarry.operators.rules import DETAIL, ERROR, ID, INFO, WARNING, identifier, level_severity, status_severity
@@ -223,16 +223,76 @@ def detect(lines: DataFrame) -> DataFrame:
     return lines.select("source_id").distinct().join(found, "source_id", "left").select("source_id", F.coalesce("layout", F.lit("generic")).alias("layout"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+#: Rows and characters up to which lines without a stamp are brought to the stamped ones instead of the other way round.
+SMALL_ROWS, SMALL_CHARS = 100_000, 32 << 20
+OUT = ["source_id", "line_start", "line_end", "text", "message", *FIELDS, "segment"]
+
+
 def parse(lines: DataFrame, layout: str, file_dates: DataFrame | None = None) -> DataFrame:
     """Events of lines (``source_id``, ``line_no``, ``text``) of one layout.
 
     Blank lines vanish. A line without a stamp continues the event before it if
     it is indented, and is otherwise an event of its own with the time of the
     stamped line before it (``inherited``), or without a time (``none``).
+
+    Lines with a stamp are parsed where they are. Those without one form runs, and the line in front of a run is
+    known by its number, so only they are grouped. Sources whose numbers have gaps are put in order as a whole.
     """
     chosen = LAYOUTS.get(layout, GENERIC)
-    lines = lines.where(F.trim("text") != "")
     lines = lines.join(file_dates, "source_id", "left") if file_dates is not None else lines.withColumn("file_date", F.lit(None).cast("date"))
+    spans = settled(lines.groupBy("source_id").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count("*").alias("n")))
+    gapped = spans.where("hi - lo + 1 <> n").select("source_id")
+    if gapped.isEmpty():
+        return _runs(lines, chosen, spans)
+    return _runs(lines.join(gapped, "source_id", "left_anti"), chosen, spans).unionByName(_ordered(lines.join(gapped, "source_id", "left_semi"), chosen))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it was counted to be small; a larger one is joined by shuffles."""
+    chars = F.sum(F.length("text")) if "text" in df.columns else F.lit(0)
+    rows, size = df.agg(F.count("*"), F.coalesce(chars, F.lit(0))).first()
+    return F.broadcast(df) if rows <= SMALL_ROWS and size <= SMALL_CHARS else df
+
+
+def _bare(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Lines without a stamp as events, with the columns of ``heads``; their times come later."""
+    for name in FIELDS:
+        rows = rows.withColumn(name, F.lit(None).cast(heads.schema[name].dataType))
+    return rows.withColumn("etype", F.lit("line")).withColumn("severity", F.lit(INFO)).withColumn("ids", _no_ids()).withColumn("message", F.col("text"))
+
+
+def _runs(lines: DataFrame, chosen: Layout, spans: DataFrame) -> DataFrame:
+    """Events of sources whose line numbers have no gaps."""
+    stamped, blank = F.coalesce(chosen.recognizes(F.col("text")), F.lit(False)), F.trim("text") == ""
+    heads = chosen.parse(lines.where(stamped & ~blank))
+    others = settled(lines.where(~stamped | blank).select("source_id", "line_no", "text", blank.alias("blank"), F.col("text").rlike(r"^\s").alias("indented")))
+    shown = lambda df: df.withColumn("line_start", F.col("line_no")).withColumn("segment", F.lit(0)).select(*OUT)
+    if others.where("not blank").isEmpty():
+        return shown(heads.withColumn("line_end", F.col("line_no")))
+    before = others.select("source_id", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("follows"))
+    marked = settled(others.join(before, ["source_id", "line_no"], "left"))
+    opened = running(marked, "source_id", "line_no", lasts={"run": F.when(F.col("follows").isNull(), F.col("line_no")), "opener": F.when(~F.col("blank") & ~F.col("indented"), F.col("line_no"))})
+    first = others.where("not blank").groupBy("source_id").agg(F.min("line_no").alias("first"))
+    opened = opened.where("not blank").join(spans.select("source_id", "lo"), "source_id").join(first, "source_id")
+    # An indented line with nothing before it opens an event, and what follows may continue it.
+    head = F.when(F.col("opener") >= F.col("run"), F.col("opener")).when(F.col("run") > F.col("lo"), F.col("run") - 1).otherwise(F.col("first"))
+    opened = settled(opened.select("source_id", "line_no", "text", (F.col("run") - 1).alias("head"), head.alias("event_line")))
+    alone = opened.where("line_no = event_line")
+    asked = _small(settled(alone.select("source_id", F.col("head").alias("line_no")).distinct()))
+    clocks = heads.select("source_id", "line_no", "wall", "offset").join(asked, ["source_id", "line_no"]).select("source_id", F.col("line_no").alias("head"), F.struct("wall", "offset").alias("clock"))
+    flag = F.when(F.col("clock.wall").isNotNull(), "inherited").otherwise("none")
+    timed = _bare(alone.join(clocks, ["source_id", "head"], "left"), heads).withColumn("wall", F.col("clock.wall")).withColumn("offset", F.col("clock.offset")).withColumn("ts_flag", flag)
+    every = heads.select("source_id", "line_no", "text", "message", *FIELDS).unionByName(timed.select("source_id", "line_no", "text", "message", *FIELDS))
+    rest = opened.where("line_no <> event_line").groupBy("source_id", "event_line").agg(F.max("line_no").alias("line_end"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("x"))
+    rest = settled(rest.select("source_id", F.col("event_line").alias("line_no"), "line_end", F.array_join("x.text", "\n").alias("text")))
+    joined = every.join(_small(rest).withColumnRenamed("text", "_more"), ["source_id", "line_no"], "left")
+    text = F.when(F.col("_more").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", "_more"))
+    return shown(joined.withColumn("text", text).withColumn("line_end", F.coalesce("line_end", "line_no")))
+
+
+def _ordered(lines: DataFrame, chosen: Layout) -> DataFrame:
+    """Events of lines with any numbers, by windows over all of them."""
+    lines = lines.where(F.trim("text") != "")
     stamped = F.coalesce(chosen.recognizes(F.col("text")), F.lit(False))
     lines = lines.withColumn("stamped", stamped).withColumn("indented", F.col("text").rlike(r"^\s"))
     opened = carry_last(lines, "source_id", "line_no", F.when(F.col("stamped") | ~F.col("indented"), F.col("line_no")), "event_line")
@@ -240,10 +300,7 @@ def parse(lines: DataFrame, layout: str, file_dates: DataFrame | None = None) ->
     # An indented line with nothing before it opens an event, and what follows may continue it.
     opened = settled(opened.join(first, "source_id").withColumn("event_line", F.coalesce("event_line", "first_line")).drop("first_line"))
     heads = chosen.parse(opened.where((F.col("line_no") == F.col("event_line")) & F.col("stamped")))
-    bare = opened.where((F.col("line_no") == F.col("event_line")) & ~F.col("stamped"))
-    for name in FIELDS:
-        bare = bare.withColumn(name, F.lit(None).cast(heads.schema[name].dataType))
-    bare = bare.withColumn("etype", F.lit("line")).withColumn("severity", F.lit(INFO)).withColumn("ids", _no_ids()).withColumn("message", F.col("text"))
+    bare = _bare(opened.where((F.col("line_no") == F.col("event_line")) & ~F.col("stamped")), heads)
     heads = settled(heads.unionByName(bare.select(heads.columns)))
     timed = carry_last(heads, "source_id", "line_no", F.when(F.col("stamped"), F.struct("wall", "offset")), "clock", before=True)
     bare_flag = F.when(F.col("clock.wall").isNotNull(), "inherited").otherwise("none")
@@ -256,4 +313,4 @@ def parse(lines: DataFrame, layout: str, file_dates: DataFrame | None = None) ->
     texts = opened.groupBy("source_id", "event_line").agg(F.max("line_no").alias("line_end"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
     texts = texts.select("source_id", F.col("event_line").alias("line_no"), "line_end", F.array_join(F.col("_lines.text"), "\n").alias("text"))
     joined = timed.join(texts, ["source_id", "line_no"])
-    return joined.withColumnRenamed("line_no", "line_start").withColumn("segment", F.lit(0)).select("source_id", "line_start", "line_end", "text", "message", *FIELDS, "segment")
+    return joined.withColumnRenamed("line_no", "line_start").withColumn("segment", F.lit(0)).select(*OUT)
