@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import times
 from logquarry.functions.running import carry_last, running
 from logquarry.operators import rules
-from logquarry.session import settled
+from logquarry.session import settled, spread
 from logquarry.operators.rules import DETAIL, ERROR, ID, INFO, WARNING, identifier, level_severity, status_severity
 
 WEEKDAY = r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
@@ -239,6 +239,7 @@ def parse(lines: DataFrame, layout: str, file_dates: DataFrame | None = None) ->
     known by its number, so only they are grouped. Sources whose numbers have gaps are put in order as a whole.
     """
     chosen = LAYOUTS.get(layout, GENERIC)
+    lines = spread(lines, "source_id", "line_no")
     lines = lines.join(file_dates, "source_id", "left") if file_dates is not None else lines.withColumn("file_date", F.lit(None).cast("date"))
     spans = settled(lines.groupBy("source_id").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count("*").alias("n")))
     gapped = spans.where("hi - lo + 1 <> n").select("source_id")

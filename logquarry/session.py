@@ -60,3 +60,9 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once, with its lineage cut by a checkpoint in the shared folder."""
     checkpoint_ready(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to all cores by ``keys`` where it comes in fewer partitions, as a small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
