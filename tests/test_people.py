@@ -154,3 +154,13 @@ def test_folding(spark):
     values = ["STRASSE", "straße", "STRAẞE", "ΣΑΣ", "σας", "ﬁx", "FIX", "ſ", "İ", None, "abc"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", masking.fold(F.lit("Extra"), F.col("v")).alias("f")).collect()
     assert all(r["f"] == (r["v"] and r["v"].casefold()) for r in rows)
+
+
+def test_dates_and_numbers(spark):
+    """Dates are told from numbers alike in columns and in texts."""
+    from logquarry.functions import identifiers as ids
+
+    values = "2026-10-15 10:00|15.10.2026|+(2026/01/02|1899-10-15|2026-13-01|15.10.26 1234|030 4445556|2026-1-15|12.05.20267|x|1-2-3|20261015|15-10-2126|(0)30-12-2010".split("|")
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", ids.begins_as_date(F.col("v")).alias("d")).collect()
+    assert {r["v"]: r["d"] for r in rows} == {v: shapes.is_date(v) for v in values}
+    assert {v for v in values if shapes.is_date(v)} == {"2026-10-15 10:00", "15.10.2026", "+(2026/01/02", "12.05.20267"}
