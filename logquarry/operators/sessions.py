@@ -28,8 +28,6 @@ _SESSION = r"^Session (\d+); child \d+"
 _SHUTDOWN = r"^Server Shutdown\s+(.+)$"
 _BEGIN, _END = "--------- Partial transcript", "---------- End partial transcript"
 WORKER_EVENTS, WORKER_MS = 400, 30 * 60_000
-#: Rounds in which chains of transcripts double; enough for 2**20 links.
-CHAIN_ROUNDS = 20
 
 
 def rfc2822(text: Column) -> tuple[Column, Column]:
@@ -123,9 +121,8 @@ def _sessions(owners: DataFrame) -> DataFrame:
     keys = ["source_id", "group", "piece"]
     linked = earlier.groupBy(keys).agg(F.max("tail_line").alias("before"))
     linked = settled(owners.join(linked, keys, "left").select("source_id", "first_line", "stated", "before"))
-    for _ in range(CHAIN_ROUNDS):
-        if linked.where("stated is null and before is not null").isEmpty():
-            break
+    # Each transcript goes on from an earlier line, so chains end, in as many rounds as the longest one has doublings.
+    while not linked.where("stated is null and before is not null").isEmpty():
         back = linked.select("source_id", F.col("first_line").alias("before"), F.col("stated").alias("_stated"), F.col("before").alias("_before"))
         joined = linked.join(back, ["source_id", "before"], "left")
         linked = settled(joined.select("source_id", "first_line", F.coalesce("stated", "_stated").alias("stated"), F.when(F.col("stated").isNull() & F.col("_stated").isNull(), F.col("_before")).alias("before")))
