@@ -9,6 +9,10 @@
    a spanning forest of them instead of all pairs.
 4. The forests are merged into components by alternating large-star and
    small-star steps over Spark joins.
+
+Where the links are sets of a given similarity (``sized_pairs``), the reach is
+wide. Shards are then split by size class as well, and their forests hold real
+links, the nearest first, as each link is checked on the sets afterwards.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ SAMPLE = 16384
 SHARD_ROWS = 4000
 #: Comparisons made at once inside a shard.
 BLOCK = 1 << 22
+#: Sets wanted in a leaf of a tree that is searched with a wide reach; leaves are split further by size.
+WIDE_ROWS = 30_000
+#: Home sets and others that are compared at once there, and links that are gathered before a forest takes them.
+TILE, LINKS = (64, 4096), 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -47,8 +55,12 @@ def fingerprint(text: str | None) -> int:
         starts = [0, *ends[:-SHINGLE].tolist()]
         hash_of = xxhash.xxh64_intdigest
         hashes = [hash_of(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(values: np.ndarray) -> int:
+    """The 64-bit number whose bits are set in over half of ``values``."""
     counts = np.zeros(64, np.int64)
-    values = np.array(hashes, np.uint64)
     for k in range(0, len(values), 4096):
         counts += np.unpackbits(values[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(values), bitorder="little").view(np.uint64)[0])
@@ -168,6 +180,103 @@ def link_shard(home: np.ndarray, guests: np.ndarray, reach: int = MAX_BITS) -> t
     return points[linked], points[top[linked]]
 
 
+class NearestForest:
+    """Spanning forest of links that were really seen, the nearest first; it takes links in parts."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+        if len(a):
+            self.parts.append((a, b, d))
+            self.waiting += len(a)
+            if self.waiting > LINKS:
+                self.links()
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the forest so far."""
+        self.waiting = 0
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b, d = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = codes[: len(a)], codes[len(a) :]
+        forest, chosen = Forest(len(nodes)), []
+        for reach in np.unique(d):
+            at = np.flatnonzero(d == reach)
+            while len(at := at[forest.root[x[at]] != forest.root[y[at]]]):
+                # One link for each root that is to hang on a smaller one.
+                ends = np.maximum(forest.root[x[at]], forest.root[y[at]])
+                some = at[np.unique(ends, return_index=True)[1]]
+                chosen.append(some)
+                forest.join(x[some], y[some])
+        kept = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        self.parts = [(a[kept], b[kept], d[kept])]
+        return a[kept], b[kept]
+
+
+def sized_links(marks: np.ndarray, sizes: np.ndarray, home: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest, as places, of the links of home sets with all: fingerprints within ``reach``, sizes within a quarter."""
+
+    def by_size(some: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(some)
+        return at[np.argsort(sizes[at], kind="stable")]
+
+    own, guests = by_size(home), by_size(~home)
+    forest = NearestForest()
+    for k in range(0, len(own), TILE[0]):
+        here = own[k : k + TILE[0]]
+        least, most = (4 * sizes[here[0]] + 4) // 5, 5 * sizes[here[-1]] // 4
+        there = np.concatenate([own[k + 1 : np.searchsorted(sizes[own], most, "right")], guests[np.searchsorted(sizes[guests], least) : np.searchsorted(sizes[guests], most, "right")]])
+        for m in range(0, len(there), TILE[1]):
+            part = there[m : m + TILE[1]]
+            apart = distance(marks[here][:, None], marks[part][None, :])
+            i, j = np.nonzero(apart <= reach)
+            a, b = here[i], part[j]
+            fit = (a != b) & (5 * sizes[a] >= 4 * sizes[b]) & (5 * sizes[b] >= 4 * sizes[a])
+            forest.add(a[fit], b[fit], apart[i, j][fit])
+    return forest.links()
+
+
+def sized_pairs(sets: DataFrame, reach: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``sets`` (``fp``, its SimHash ``mark``, its size ``n``) within ``reach`` and a quarter of each other's size.
+
+    Each shard (a leaf of the tree and a size class) gives a spanning forest of
+    its pairs. Of two shards that can hold the ends of a pair only one is visited.
+    """
+    n = sets.count()
+    distinct = sets.select("mark").distinct()
+    sample = distinct.orderBy(F.xxhash64("mark"), "mark").limit(SAMPLE)
+    points = np.array([r["mark"] for r in sample.collect()], np.int64).view(np.uint64)
+    tree = VantageTree(points, max(1, WIDE_ROWS * len(points) // max(n, 1)))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, n = batch["mark"].to_numpy(), batch["n"].to_numpy()
+            # Sizes within a quarter of each other are of one class or of two neighbours.
+            kinds = np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int32)
+            visits, leaf = [], np.zeros(len(marks), np.int32)
+            for shard, at, home in tree.route(marks.view(np.uint64), reach):
+                leaf[at[home]] = shard
+                visits.append((shard, at))
+            for shard, at in visits:
+                for up in (0, 1):
+                    some = at if up else at[leaf[at] <= shard]
+                    if len(some):
+                        rows = batch.select(["fp", "mark", "n"]).take(pa.array(some))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard, np.int32)), pa.array(kinds[some] + np.int32(up)), *rows.columns, pa.array((leaf[some] == shard) & (up == 0))], ["shard", "kind", "fp", "mark", "n", "home"])
+
+    def link(group: pa.Table) -> pa.Table:
+        fps = group["fp"].to_numpy()
+        a, b = sized_links(group["mark"].to_numpy().view(np.uint64), group["n"].to_numpy().astype(np.int64), group["home"].to_numpy(), reach)
+        return pa.table({"a": fps[a], "b": fps[b]})
+
+    rows = sets.select("fp", "mark", "n").mapInArrow(route, "shard int, kind int, fp long, mark long, n int, home boolean")
+    found = rows.groupBy("shard", "kind").applyInArrow(link, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _shard_links(distinct: DataFrame, n: int) -> DataFrame:
     """Links ``a``, ``b`` between fingerprints, enough of them to hold each component together."""
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if n > SAMPLE else distinct

@@ -13,9 +13,10 @@ of a block become rows. With sizes ``n >= m`` and the first common key at places
 ``i`` and ``j`` of the orders, ``9 (n - i)`` and ``9 (m - j)`` are ``4 (n + m)`` or
 more, so a key that stands early in no set links nothing.
 
-Pairs are made in two ways. In a few turns each key asks its sets for links to two
+Pairs are made in three ways. First the vantage-point tree of ``simhash`` proposes
+pairs by the SimHash of the sets, among those that share a key. Then in a few turns each key asks its sets for links to two
 of them, at first to the one whose keys are shared most widely, which joins large
-groups of near copies in a linear number of pairs; sets of other sizes don't count. Then all pairs are made whose
+groups of near copies in a linear number of pairs; sets of other sizes don't count. Last, all pairs are made whose
 sets are still in different components, and those are passed over whose sizes, places or parity sketches rule out the similarity. Each pair left
 is verified on the whole sets.
 """
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from logquarry.llm.blocks import bucket_count
 from logquarry.llm.decontaminate import bound, shingle_hashes, words_of
 from logquarry.llm.shared import BROADCAST_IDS, bounded, bucketed, id_and_text, parts, written
-from logquarry.llm.simhash import components, named
+from logquarry.llm.simhash import components, majority, named, sized_pairs
 
 SHINGLE = 5
 #: One of so many documents tells which shingles are frequent, from so many documents on, and most of them that are kept.
 SAMPLE, FREQUENT, MOST = 16, 4, 100_000
+#: Differing bits of two fingerprints up to which the tree proposes a pair.
+REACH = 12
 #: Turns in which sets are linked to two others of each key.
 TURNS = 3
 #: Choices of two sets among the keys of a turn.
@@ -47,8 +50,8 @@ SPREAD = 4
 #: Words of 64 bits in the smallest parity sketch, which all sets have besides their own.
 SKETCH = 4
 SKETCHES, OTHERS = [f"s{k}" for k in range(SKETCH)], [f"t{k}" for k in range(SKETCH)]
-_SETS = "doc_id long, fp long, n int, sketch array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
-_BLOCK = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "fps": pa.list_(pa.int64()), "ns": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "keys": pa.binary(), "sketches": pa.binary(), "n_words": pa.int64()}
+_SETS = "doc_id long, fp long, n int, mark long, sketch array<long>, " + ", ".join(f"{s} long" for s in SKETCHES)
+_BLOCK = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "fps": pa.list_(pa.int64()), "ns": pa.list_(pa.int32()), "sizes": pa.list_(pa.int32()), "keys": pa.binary(), "sketches": pa.binary(), "marks": pa.list_(pa.int64()), "n_words": pa.int64()}
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
@@ -119,11 +122,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
             sets, marks = _uniques(batch)
             sketches = np.concatenate([sketch(s) for s in sets])
             keys = [keys_of(s, frequent, rank) for s in sets]
-            columns = [[block], [batch["doc_id"].to_pylist()], [marks.to_pylist()], [list(map(len, sets))], [list(map(len, keys))], [np.concatenate(keys).tobytes()], [sketches.tobytes()], [sum(map(len, keys))]]
+            columns = [[block], [batch["doc_id"].to_pylist()], [marks.to_pylist()], [list(map(len, sets))], [list(map(len, keys))], [np.concatenate(keys).tobytes()], [sketches.tobytes()], [np.array([majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)], [sum(map(len, keys))]]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _BLOCK.values(), strict=True)], list(_BLOCK))
             block += 1
 
-    kinds = "block long, ids array<long>, fps array<long>, ns array<int>, sizes array<int>, keys binary, sketches binary, n_words long"
+    kinds = "block long, ids array<long>, fps array<long>, ns array<int>, sizes array<int>, keys binary, sketches binary, marks array<long>, n_words long"
     return bucketed(_hashes(docs).mapInArrow(run, kinds), "block", "similar-blocks")
 
 
@@ -218,10 +221,10 @@ def _sets(blocks: DataFrame) -> DataFrame:
                 flat, sizes = np.frombuffer(row["sketches"], np.int64), np.array([sketch_words(n) for n in row["ns"]])
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
                 small = np.array([np.bitwise_xor.reduce(flat[a:b].reshape(-1, SKETCH), axis=0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-                columns = [pa.array(row["ids"], pa.int64()), pa.array(row["fps"], pa.int64()), pa.array(row["ns"], pa.int32()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), *[pa.array(small[:, k].copy()) for k in range(SKETCH)]]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "sketch", *SKETCHES])
+                columns = [pa.array(row["ids"], pa.int64()), pa.array(row["fps"], pa.int64()), pa.array(row["ns"], pa.int32()), pa.array(row["marks"], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), *[pa.array(small[:, k].copy()) for k in range(SKETCH)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "n", "mark", "sketch", *SKETCHES])
 
-    return written(blocks.select("ids", "fps", "ns", "sketches").mapInArrow(run, _SETS), "similar-sets")
+    return written(blocks.select("ids", "fps", "ns", "sketches", "marks").mapInArrow(run, _SETS), "similar-sets")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -294,11 +297,20 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = _blocks(docs)
     sets, keyed = _sets(blocks), _keyed(blocks)
     # Rows of one set agree in all but the id.
-    distinct = written(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), *[F.first(x).alias(x) for x in SKETCHES], F.min("doc_id").alias("first_id")), "similar-distinct")
+    distinct = written(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch"), *[F.first(x).alias(x) for x in SKETCHES], F.min("doc_id").alias("first_id")), "similar-distinct")
     # A set that several blocks hold is there several times, so a key isn't shared before its ends differ.
     several = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key")
     keyed = written(keyed.join(several, "key", "left_semi").distinct(), "similar-shared")
-    links, rooted = None, keyed.withColumn("root", F.col("fp"))
+
+    def grouped(links: DataFrame, rounds: int | None = None) -> DataFrame:
+        roots = components(links.repartition(parts(docs.sparkSession)), "similar-links", rounds).toDF("fp", "root")
+        return written(keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-turn")
+
+    # A set that shares no key has no link.
+    searched = written(distinct.join(keyed.select("fp").distinct(), "fp", "left_semi").select("fp", "mark", "n"), "similar-searched")
+    near = _near(written(sized_pairs(searched, REACH), "similar-tree"), distinct, "similar-tree")
+    links = _verified(near, docs, distinct, "similar-linked")
+    rooted = grouped(links)
     for turn in range(TURNS):
         rooted = rooted.withColumn("kind", _size_class(turn))
         hubs = _hubs(rooted, turn)
@@ -309,10 +321,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         stars = _near(stars, distinct, "similar-stars").groupBy("a").agg(F.min(order)["b"].alias("lo"), F.max(order)["b"].alias("hi"))
         stars = stars.select("a", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("b"))
         found = _verified(written(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-stars"), docs, distinct, "similar-linked")
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         # Stars settle in two rounds; sets that are still apart then are only asked again.
-        roots = components(links.repartition(parts(docs.sparkSession)), "similar-links", 2).toDF("fp", "root")
-        rooted = written(keyed.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "similar-turn")
+        rooted = grouped(links, 2)
     mixed = _hubs(rooted.withColumn("kind", F.lit(0)), TURNS).select("key")
     left = rooted.join(mixed, "key", "left_semi").drop("score").join(distinct.select("fp", *SKETCHES), "fp")
     left = written(left, "similar-rooted")
