@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.llm.blocks import Codes, bucket_count, bucket_order, exchange, in_blocks, pack_array, pack_codes, pack_words, sorted_codes, unpack_array, unpack_codes, unpack_words
-from logquarry.llm.shared import bucketed, id_and_text, table
+from logquarry.llm.shared import bucketed, give_back, id_and_text, table
 
 #: How byte-level BPE splits a text (the public pattern of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,6 +151,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or default_vocabulary()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         splitter = Splitter(path)
         for block, ids, texts in in_blocks(batches):
             where, codes, sizes = Codes(), [], []
@@ -170,6 +171,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     answers = exchange(blocks, buckets, _encode_bucket(path))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         ids, arrays = [], []
         for row in left.to_pylist():
             words = unpack_words(row["words"])

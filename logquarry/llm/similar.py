@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from logquarry.llm.blocks import bucket_count
 from logquarry.llm.decontaminate import bound, shingle_hashes, words_of
-from logquarry.llm.shared import BROADCAST_IDS, bounded, bucketed, id_and_text, parts, written
+from logquarry.llm.shared import BROADCAST_IDS, bounded, bucketed, give_back, id_and_text, parts, written
 from logquarry.llm.simhash import components, majority, named, sized_pairs
 
 SHINGLE = 5
@@ -114,6 +114,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((order[by_hash], by_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         frequent, rank = shared.value
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -125,6 +126,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             columns = [[block], [batch["doc_id"].to_pylist()], [marks.to_pylist()], [list(map(len, sets))], [list(map(len, keys))], [np.concatenate(keys).tobytes()], [sketches.tobytes()], [np.array([majority(s.view(np.uint64)) for s in sets], np.uint64).view(np.int64)], [sum(map(len, keys))]]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _BLOCK.values(), strict=True)], list(_BLOCK))
             block += 1
+        give_back()
 
     kinds = "block long, ids array<long>, fps array<long>, ns array<int>, sizes array<int>, keys binary, sketches binary, marks array<long>, n_words long"
     return bucketed(_hashes(docs).mapInArrow(run, kinds), "block", "similar-blocks")
@@ -193,6 +195,7 @@ def _keyed(blocks: DataFrame) -> DataFrame:
     answers = _spread(blocks.select("block", "fps", "ns", "sizes", "keys"), buckets).groupBy("bucket").applyInArrow(_answer, "block long, bucket int, widths binary")
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         said = dict(zip(right["bucket"].to_pylist(), right["widths"].to_pylist(), strict=True))
         out = []
         for row in left.to_pylist():
@@ -231,6 +234,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
     """``fp`` and the hashes of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             sets, marks = _uniques(batch)
             yield pa.RecordBatch.from_arrays([marks, pa.array(sets, pa.list_(pa.int64()))], ["fp", "hashes"])

@@ -1,5 +1,8 @@
 """The pipeline's stages keep the columns of documents, and the last gives token ids."""
 
+import re
+from pathlib import Path
+
 import corpus_pipeline
 from logquarry.llm import registry, shared
 
@@ -45,3 +48,18 @@ def test_odd_rows_and_a_benchmark_of_nulls(spark, docs, tmp_path):
     assert docs.count() > rules >= one_of_each == clean == masked > 0
     ids = [r["doc_id"] for r in left.select("doc_id").collect()]
     assert not {-1, -2, -3} & set(ids)
+
+
+def test_workers_give_memory_back():
+    """What a stage freed doesn't stay with the worker, where the next one would count it."""
+
+    def held() -> int:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    before = held()
+    texts = [bytes([k % 251]) * 1000 for k in range(100_000)]
+    kept = texts[::500]  # these lie between what is freed
+    del texts
+    full = held()
+    shared.give_back()
+    assert len(kept) == 200 and held() - before < (full - before) / 2
