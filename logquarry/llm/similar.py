@@ -14,7 +14,8 @@ of a block become rows. With sizes ``n >= m`` and the first common key at places
 more, so a key that stands early in no set links nothing.
 
 Pairs are made in three ways. First the vantage-point tree of ``simhash`` proposes
-pairs by the SimHash of the sets, among those that share a key. Then in a few turns each key asks its sets for links to two
+pairs by the SimHash of the sets, among those that share a key; in large inputs sets visit only
+some of the shards in reach, and what is missed is left to the next two. Then in a few turns each key asks its sets for links to two
 of them, at first to the one whose keys are shared most widely, which joins large
 groups of near copies in a linear number of pairs; sets of other sizes don't count. Last, all pairs are made whose
 sets are still in different components, and those are passed over whose sizes, places or parity sketches rule out the similarity. Each pair left
