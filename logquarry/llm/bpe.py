@@ -209,18 +209,29 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def joined(ids: pa.ListArray, known: pa.LargeBinaryArray) -> pa.StringArray:
+    """The text of each list of ids, whose ``known`` pieces are put together in one buffer; bytes that aren't UTF-8 are replaced."""
+    found = known.take(ids.flatten())
+    ends = np.concatenate([[0], np.cumsum(np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
+    if not len(found):
+        return pa.array([""] * len(ids), pa.string())
+    _, offsets, data = found.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1]
+    texts = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets[ends]), data])
+    try:
+        return texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # the cast checks that all is UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` (``doc_id``, ``ids``) with ``decoded``, the text of the ids; null ids decode to the empty text."""
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = pieces(path).__getitem__
+        known = pa.array(pieces(path), pa.large_binary())
         for batch in batches:
-            column = batch["ids"]
-            flat = list(map(piece, column.flatten().to_pylist()))
-            ends = np.concatenate([[0], np.cumsum(np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
-            texts = [b"".join(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], column, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], joined(batch["ids"], known)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
