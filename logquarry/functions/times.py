@@ -42,7 +42,13 @@ def offset_minutes(zone: Column) -> Column:
 
 def wall_ms(wall: Column) -> Column:
     """The wall time read as if it were UTC."""
-    return F.floor(F.unix_micros(wall.cast("timestamp")) / 1000).cast("long")
+    return F.unix_millis(wall.cast("timestamp"))
+
+
+def nearest_ms(wall: Column) -> Column:
+    """The nearest millisecond, halves away from zero, of a wall time read as if it were UTC; ``wall_ms`` has the one it is in."""
+    micros = F.unix_micros(wall.cast("timestamp"))
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000).cast("long"))
 
 
 def local_offset(wall: Column, zone: str) -> Column:
@@ -51,7 +57,8 @@ def local_offset(wall: Column, zone: str) -> Column:
 
 
 def bin_of(ms: Column, size: int = BIN_MS) -> Column:
-    return F.floor(ms / size).cast("long")
+    """The bin of an instant in whole numbers; before 1970 it is counted towards zero, as ``/`` and ``//`` of SQL count."""
+    return F.call_function("div", ms.cast("long"), F.lit(size).cast("long"))
 
 
 def format_ms(ms: Column, offset: Column) -> Column:

@@ -111,9 +111,9 @@ def binned_histogram(binned: DataFrame, sources: list | None = None, min_severit
     if sources:
         some = some.where(F.col("source_id").isin(sources))
     if time_from is not None:
-        some = some.where(F.col("bin") >= time_from // times.BIN_MS)
+        some = some.where(F.col("bin") >= times.bin_of(F.lit(time_from)))
     if time_to is not None:
-        some = some.where(F.col("bin") <= time_to // times.BIN_MS)
+        some = some.where(F.col("bin") <= times.bin_of(F.lit(time_to)))
     ends = _span(some, F.min("bin"), F.max("bin")).first()
     first, last = ends["start"] or 0, ends["stop"] or 0
     start, stop = first * times.BIN_MS, (last + 1) * times.BIN_MS - 1

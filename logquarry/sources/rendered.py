@@ -27,7 +27,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "event_id",
         "ts",
-        F.floor(F.unix_micros(ts) / 1000).cast("long").alias("ts_ms"),
+        F.unix_millis(ts).alias("ts_ms"),
         "user_id",
         "event_type",
         account(F.col("user_id")).alias("account"),
