@@ -33,6 +33,7 @@ COMPONENT = r"^(\d{6}) (\d{9}) ([A-Z]) \[([0-9A-Fa-f]{4,8})\] (0x[0-9A-Fa-f]{8}
 BRACKET = rf"^\[{_NAMED_DAY}[ T]{CLOCK}\] ?(.*)$"
 BRACKET_LEVEL = rf"(?i)^({'|'.join(LEVEL_NAMES)}),? "
 BRACKET_REQUEST = r"^\[([A-Z0-9]{8,})\] "
+BRACKET_CLIENT = r"^Connection: ([0-9A-Fa-f.:]+) Method:\w"
 ACCESS = r'^(\S+) \S+ (\S+) \[?(\d\d/\w{3}/\d{4}(?::\d\d){3}) ([+-]\d{4})\]? "[^"]*" (\d{3}|-) \S'
 PIPE = rf"^{DAY}[ T]{CLOCK} \| (\w+) \| (.*)$"
 PIPE_REQUEST = r"^(\d{3}) [^:]*: [A-Z]+ \S+ from (\S+)"
@@ -223,6 +224,18 @@ def detect(lines: DataFrame) -> DataFrame:
     return lines.select("source_id").distinct().join(found, "source_id", "left").select("source_id", F.coalesce("layout", F.lit("generic")).alias("layout"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+#: Where a request's message names its client: the pattern and its group.
+CLIENTS = {"pipe": (PIPE_REQUEST, 2), "bracket": (BRACKET_CLIENT, 1), "access": (ACCESS, 1)}
+
+
+def client(message: Column, layout: str) -> Column:
+    """The client of a request as its line writes it, without the prefix of a mapped address; null where none is named.
+
+    It need not be an address: one with a number above 255 is no identifier, so ``ids`` lacks it.
+    """
+    return F.nullif(F.regexp_replace(F.regexp_extract(message, *CLIENTS[layout]), "(?i)^::ffff:", ""), F.lit(""))
+
+
 #: Rows and characters up to which lines without a stamp are brought to the stamped ones instead of the other way round.
 SMALL_ROWS, SMALL_CHARS = 100_000, 32 << 20
 OUT = ["source_id", "line_start", "line_end", "text", "message", *FIELDS, "segment"]

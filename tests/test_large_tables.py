@@ -42,3 +42,11 @@ def test_bins_before_1970(spark, tmp_path, name):
     old = dt.datetime(1970, 1, 1)
     rows = [(old + dt.timedelta(minutes=m, microseconds=-1), 1, "view") for m in (-25, -10, -9, 0, 1, 9, 10, 25)]
     same(spark, events(spark, tmp_path, rows), name)
+
+
+@pytest.mark.parametrize("name", ["parse_access"])
+def test_clients_that_are_no_addresses(spark, tmp_path, name):
+    """With over 65,536 users some addresses have numbers above 255."""
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [(at + dt.timedelta(seconds=k), user, kind) for k, (user, kind) in enumerate([(7, "view"), (65535, "error"), (65536, "view"), (89999, "error"), (540000, "click")])]
+    assert len(same(spark, events(spark, tmp_path, rows), name)) == 5
