@@ -31,6 +31,15 @@ KNOWN = [
     ("url", "http://intranet/start", "http://intranet/start", False), ("domain", "host.example", "host.example", False), ("msgid", "id.5@x.example", "<id.5@x.example>", False),
     ("ipv6", "2001:db8::5", "2001:db8::5", False), ("account", "李雷明", "李雷明", False),
 ]
+
+
+def test_known_addresses_that_are_none(spark):
+    """Numbers above 255 make no address; a value known as one is replaced all the same, wherever it stands as a whole."""
+    made = exporting.export(events(spark, ["from 10.0.300.7 to 10.0.300.70 and 10.0.300.7"]), F.lit(0), masking.Options(personal=False, keep_private_ip=True), identifiers=spark.createDataFrame([("ipv4", "10.0.300.7", None, False), ("ipv4", "10.0.300.70", None, False)], IDS))
+    assert texts(made)[1] == ["from [IPv4-001] to [IPv4-002] and [IPv4-001]"]
+    assert restored(made) == ["from 10.0.300.7 to 10.0.300.70 and 10.0.300.7"]
+
+
 LINES = [
     "device DEVICE77 of jsmith on srv-alpha, mail ann@x.example",
     "cmd=Sync&User=jsmith&DeviceId=device77&x=1 postmaster jsmithers srv-alpha.local",
