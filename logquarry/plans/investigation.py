@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from logquarry.functions import identifiers as ids
+from logquarry.functions import times
 from logquarry.operators import entities, graph, inquiry, search, sessions, trace
 from logquarry.plans import tables
 from logquarry.plans.tables import EVENTS_SQL
@@ -49,9 +50,8 @@ def common_flags(spark, sf_dir):
 
 def shared_ip(spark, sf_dir):
     """Addresses by the accounts they meet in a group; contexts here are an hour, whoever it is."""
-    events = tables.events(spark, sf_dir).withColumn("ctx", F.concat(F.lit("hour:"), F.floor(F.col("ts_ms") / 600000).cast("string")))
-    pairs = entities.address_accounts(events, tables.occurrences(spark, sf_dir))
-    return pairs.groupBy("kind", "value").agg(F.count("*").alias("accounts"))
+    events = tables.events(spark, sf_dir).where("ts_ms is not null").withColumn("ctx", F.concat(F.lit("hour:"), times.bin_of(F.col("ts_ms")).cast("string")))
+    return entities.account_counts(events, tables.occurrences(spark, sf_dir))
 
 
 def worker_contexts(spark, sf_dir):

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from logquarry import plans
+from logquarry.operators import entities
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -50,3 +51,20 @@ def test_clients_that_are_no_addresses(spark, tmp_path, name):
     at = dt.datetime(2024, 1, 1, 12)
     rows = [(at + dt.timedelta(seconds=k), user, kind) for k, (user, kind) in enumerate([(7, "view"), (65535, "error"), (65536, "view"), (89999, "error"), (540000, "click")])]
     assert len(same(spark, events(spark, tmp_path, rows), name)) == 5
+
+
+def test_shared_addresses_before_1970(spark, tmp_path):
+    old = dt.datetime(1970, 1, 1)
+    rows = [(old + dt.timedelta(minutes=m), user, "view") for m, user in ((-25, 1), (-9, 2), (9, 3), (11, 3), (11, 4), (12, 300))]
+    assert len(same(spark, events(spark, tmp_path, rows), "shared_ip")) == 5
+
+
+def test_accounts_met_are_counted_without_pairs(spark):
+    """In tiles smaller than a group; values are those of the pairs, and no join makes rows of pairs."""
+    shown = "event_id long, ctx string"
+    events = spark.createDataFrame([(k, f"g{k % 3}" if k % 5 else None) for k in range(400)], shown)
+    occ = spark.createDataFrame([(k, kind, f"{kind}{k * m % n}", role) for k in range(400) for kind, m, n, role in (("ipv4", 7, 90, "client"), ("email", 11, 150, "account"), ("queue", 1, 5, ""))], "event_id long, kind string, value string, role string")
+    counted = entities.account_counts(events, occ, 16, 64)
+    want = entities.address_accounts(events, occ).groupBy("kind", "value").count()
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
+    assert "PythonCoGroup" in (plan := counted._jdf.queryExecution().toString()) or "FlatMapCoGroups" in plan
