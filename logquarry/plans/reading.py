@@ -23,8 +23,7 @@ RANGE = 4096
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files, below the shared folder: ``path``, ``length`` and ``modificationTime``."""
     folder = f"{checkpoint_ready(spark).sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
-    rows = rendered.events(spark, sf_dir).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    lines = rows.join(rendered.lines(spark, sf_dir, "pipe").select((F.col("line_no") - 1).alias("event_id"), "text"), "event_id")
+    lines = rendered.events(spark, sf_dir).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), rendered.line("pipe").alias("text"))
     name = F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyy-MM-dd"), F.lit(".log"))
     held = lines.groupBy(name.alias("output_name")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "text"))).alias("x"))
     whole = held.select("output_name", F.encode(F.concat(F.array_join("x.text", "\n"), F.lit("\n")), "utf-8").alias("content"))

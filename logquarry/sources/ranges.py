@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import numpy as np
@@ -24,10 +24,12 @@ from logquarry.sources.lines import SAMPLE_BYTES, decode, detected_encoding
 
 #: Bytes of a range, and of one read inside it.
 RANGE_BYTES, CHUNK = 64 << 20, 4 << 20
+#: Bytes that are read beyond a range at first.
+BEYOND = 4096
 #: Lines and bytes of one batch.
 BATCH_LINES, BATCH_BYTES = 4096, 4 << 20
-#: Ranges that get a task each; more share tasks.
-MOST_TASKS = 200_000
+#: Bytes of a task's ranges together, where there are more than a few tasks for each core; most tasks, and most neighbouring ranges that are dealt together.
+TASK_BYTES, MOST_TASKS, MOST_TOGETHER = 16 << 20, 200_000, 64
 
 _END = re.compile(rb"\r\n|\n|\r")
 
@@ -61,6 +63,8 @@ def raw_lines(handle: BinaryIO, start: int, end: int, encoding: str, chunk: int
     start, end = start + start % unit, end + end % unit
     at = max(0, start - unit)
     handle.seek(at)
+    # A little beyond the range, for its last line.
+    chunk = min(chunk, end - at + BEYOND)
     data = handle.read(max(chunk, 4))
     inside = start == 0
     if inside:
@@ -101,12 +105,35 @@ def with_encoding(files: DataFrame) -> DataFrame:
 
 
 def ranges(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
-    """``files`` (``path``, ``size``, ``encoding``) cut into ranges ``part``, ``start``, ``end``, dealt to a task each."""
+    """``files`` (``path``, ``size``, ``encoding``) cut into ranges ``part``, ``start``, ``end``, dealt to a task each; small ones share tasks."""
     cut = files.where("size > 0").select("path", "encoding", F.col("size").alias("_size"), F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long"))).alias("part", "start"))
     rows = cut.select("path", "encoding", "part", "start", F.least(F.col("start") + size, "_size").alias("end"))
-    # A number of tasks by the number of ranges, which tiny rows wouldn't show.
-    count = files.agg(F.sum(F.ceil(F.col("size") / size))).first()[0]
-    return rows.repartition(max(1, min(int(count or 0), MOST_TASKS)), "path", "part")
+    # A number of tasks by the number and bytes of ranges, which tiny rows wouldn't show.
+    count, total = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / size)), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    tasks = max(1, min(int(count), max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES)), MOST_TASKS))
+    return _dealt(rows, tasks, max(1, min(int(count) // (8 * tasks), MOST_TOGETHER)))
+
+
+def _dealt(rows: DataFrame, tasks: int, together: int) -> DataFrame:
+    """Ranges dealt to tasks, neighbours together, in the order in which a task finds them in its files."""
+    return rows.repartition(tasks, "path", F.floor(F.col("part") / together)).sortWithinPartitions("path", "part")
+
+
+def _opened(rows: Iterable[dict]) -> Iterator[tuple[dict, BinaryIO]]:
+    """Rows with their open file; rows of one path in a row share it."""
+    path = handle = None
+    try:
+        for row in rows:
+            if handle is None or row["path"] != path:
+                if handle is not None:
+                    handle.close()
+                path = row["path"]
+                store, inner = store_of(path)
+                handle = store.open_input_file(inner)
+            yield row, handle
+    finally:
+        if handle is not None:
+            handle.close()
 
 
 def numbered_ranges(cut: DataFrame) -> DataFrame:
@@ -114,18 +141,16 @@ def numbered_ranges(cut: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                store, inner = store_of(row["path"])
-                with store.open_input_file(inner) as handle:
-                    count = sum(1 for _ in raw_lines(handle, row["start"], row["end"], row["encoding"]))
-                yield pa.RecordBatch.from_pylist([{**row, "count": count}], schema)
+            counts = [{**row, "count": sum(1 for _ in raw_lines(handle, row["start"], row["end"], row["encoding"]))} for row, handle in _opened(batch.to_pylist())]
+            yield pa.RecordBatch.from_pylist(counts, schema)
 
     schema = pa.schema([("path", pa.string()), ("encoding", pa.string()), ("part", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("count", pa.int64())])
     counted = settled(cut.mapInArrow(run, "path string, encoding string, part int, start long, end long, count long"))
     # One row for each range of a file.
     before = F.expr("coalesce(sum(count) OVER (PARTITION BY path ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     rows = counted.select("path", "encoding", "part", "start", "end", before.alias("before"))
-    return rows.repartition(max(1, min(cut.rdd.getNumPartitions(), MOST_TASKS)), "path", "part")
+    tasks = max(1, cut.rdd.getNumPartitions())
+    return _dealt(rows, tasks, max(1, min(counted.count() // (8 * tasks), MOST_TOGETHER)))
 
 
 def read(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
@@ -135,25 +160,21 @@ def read(files: DataFrame, size: int = RANGE_BYTES) -> DataFrame:
     """
     schema = pa.schema([("source_id", pa.string()), ("line_no", pa.int64()), ("offset", pa.int64()), ("text", pa.string())])
 
-    def batch_of(path: str, encoding: str, first: int, offsets: list[int], raw: list[bytes]) -> pa.RecordBatch:
-        texts = pa.array([decode(r, encoding) for r in raw], pa.string())
-        return pa.record_batch([pa.array([path] * len(raw), pa.string()), pa.array(range(first, first + len(raw)), pa.int64()), pa.array(offsets, pa.int64()), texts], schema)
+    def batch_of(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                store, inner = store_of(row["path"])
-                number, offsets, raw, held = row["before"] + 1, [], [], 0
-                with store.open_input_file(inner) as handle:
-                    for offset, line in raw_lines(handle, row["start"], row["end"], row["encoding"]):
-                        offsets.append(offset)
-                        raw.append(line)
-                        held += len(line)
-                        if len(raw) >= BATCH_LINES or held >= BATCH_BYTES:
-                            yield batch_of(row["path"], row["encoding"], number, offsets, raw)
-                            number, offsets, raw, held = number + len(raw), [], [], 0
-                if raw:
-                    yield batch_of(row["path"], row["encoding"], number, offsets, raw)
+            for row, handle in _opened(batch.to_pylist()):
+                for number, (offset, line) in enumerate(raw_lines(handle, row["start"], row["end"], row["encoding"]), row["before"] + 1):
+                    rows.append((row["path"], number, offset, decode(line, row["encoding"])))
+                    held += len(line)
+                    if len(rows) >= BATCH_LINES or held >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
 
     return numbered_ranges(ranges(files, size)).mapInArrow(run, "source_id string, line_no long, offset long, text string")
 

@@ -39,7 +39,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """``source_id`` (the layout), ``line_no`` and ``text``; line ``event_id + 1`` shows event ``event_id``."""
-    rows = events(spark, sf_dir)
+    return events(spark, sf_dir).select(F.lit(layout).alias("source_id"), (F.col("event_id") + 1).alias("line_no"), line(layout).alias("text"))
+
+
+def line(layout: str) -> Column:
+    """The line that shows a row of ``events``."""
     ts = F.col("ts").cast("timestamp")
     day, month = F.date_format(ts, "dd"), F.element_at(F.array(*[F.lit(m.title()) for m in MONTHS]), F.month(ts))
     clock, stamp = F.date_format(ts, "HH:mm:ss"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
@@ -57,7 +61,7 @@ def lines(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
         "syslog": F.concat(month, F.lit(" "), F.lpad(F.dayofmonth(ts).cast("string"), 2, " "), F.lit(" "), clock, F.lit(" mx app: "), F.when(bad, "error ").otherwise("note "), F.col("account")),
         "mdaemon": F.concat(F.date_format(ts, "EEE yyyy-MM-dd HH:mm:ss.SSS"), F.lit(": Authenticated as "), F.col("account")),
     }
-    return rows.select(F.lit(layout).alias("source_id"), (F.col("event_id") + 1).alias("line_no"), shapes[layout].alias("text"))
+    return shapes[layout]
 
 
 LAYOUTS = ("mdaemon", "component", "bracket", "access", "pipe", "ctime", "iso")

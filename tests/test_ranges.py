@@ -95,3 +95,22 @@ def test_a_large_file_takes_many_tasks(spark, tmp_path):
     found = ranges.read(files, 1 << 19)
     assert found.where("text <> concat(line_no - 1, ' line of a log')").count() == 0 and found.count() == 200_000
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_small_ranges_share_tasks_and_read_little(spark, tmp_path):
+    data = b"".join(b"%d line of a log\n" % k for k in range(50_000))
+    read = []
+
+    class Counted(io.BytesIO):
+        def read(self, size=-1):
+            read.append(size)
+            return super().read(size)
+
+    assert sum(1 for _ in ranges.raw_lines(Counted(data), 8192, 12288, "utf-8")) > 100
+    assert sum(read) < 4 * 4096
+    (tmp_path / "big.log").write_bytes(data)
+    files = ranges.with_encoding(spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("length").alias("size")))
+    cut = ranges.ranges(files, 1024)
+    assert cut.count() > 900 and cut.rdd.getNumPartitions() <= 64
+    found = ranges.read(files, 1024)
+    assert found.where("text <> concat(line_no - 1, ' line of a log')").count() == 0 and found.count() == 50_000
