@@ -19,10 +19,10 @@ def events(spark, folder, rows):
     return str(folder)
 
 
-def same(spark, folder, name):
+def same(spark, folder, name, table="events"):
     """The query's rows, held against its SQL."""
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
     cursor = con.execute(plans.ORACLES[name])
     columns = [d[0] for d in cursor.description]
     mine = sorted((tuple(row) for row in entry.queries()[name](spark, folder).select(*columns).collect()), key=repr)
@@ -68,3 +68,14 @@ def test_accounts_met_are_counted_without_pairs(spark):
     want = entities.address_accounts(events, occ).groupBy("kind", "value").count()
     assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, want.collect()))
     assert "PythonCoGroup" in (plan := counted._jdf.queryExecution().toString()) or "FlatMapCoGroups" in plan
+
+
+def test_values_come_back_as_they_were_written(spark, tmp_path):
+    """One placeholder serves a value in any case and form; the way back gives each line its own."""
+    texts = [
+        "INSH!! THEDLY.IGNL!! thedly.ignl Thedly.Example.COM\nthedly.ignl THEDLY.IGNL", "Mail Ann@Mail.Example.COM, ann@mail.example.com", "at 2001:DB8:0:0::5 and 2001:db8::5",
+        "7.2.0.192.IN-ADDR.ARPA 7.2.0.192.in-addr.arpa 192.0.2.7", "Sehr geehrte Frau Muster,\nFRAU MUSTER und Muster", "plain", "",
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(same(spark, str(tmp_path), "restore_roundtrip", "documents")) == 8
