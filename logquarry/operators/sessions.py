@@ -16,7 +16,7 @@ from logquarry.functions.running import carry_last, running
 from logquarry.operators import rules
 from logquarry.operators.formats import EVENT_LOG, is_event_log_head
 from logquarry.operators.rules import DETAIL, ID, INFO
-from logquarry.session import settled
+from logquarry.session import discard, settled, stored
 
 # Fixed values.
 BLOCK_LIMIT = 400
@@ -79,11 +79,15 @@ def _groups(lines: DataFrame) -> DataFrame:
 def _attached(lines: DataFrame) -> DataFrame:
     """Items with the bare lines that follow them; bare lines with no item before them stand alone."""
     body = lines.where(F.col("role").isin("item", "delimiter", "opening", "bare"))
+    if body.where("role = 'bare'").isEmpty():
+        return body.withColumn("line_end", F.col("line_no"))
     body = body.withColumn("_key", F.concat_ws(":", "source_id", "group"))
     body = carry_last(body, "_key", "line_no", F.when(F.col("stamped"), F.col("line_no")), "owner").withColumn("owner", F.coalesce("owner", "line_no"))
-    more = body.groupBy("source_id", "owner").agg(F.max("line_no").alias("line_end"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
-    more = more.select("source_id", F.col("owner").alias("line_no"), "line_end", F.array_join(F.col("_lines.text"), "\n").alias("text"))
-    return body.where(F.col("owner") == F.col("line_no")).drop("text", "_key", "owner").join(more, ["source_id", "line_no"])
+    # Only bare lines have an owner, so only they are grouped.
+    more = body.where("owner <> line_no").groupBy("source_id", "owner").agg(F.max("line_no").alias("line_end"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_lines"))
+    more = more.select("source_id", F.col("owner").alias("line_no"), "line_end", F.array_join(F.col("_lines.text"), "\n").alias("_more"))
+    joined = body.where(F.col("owner") == F.col("line_no")).drop("_key", "owner").join(more, ["source_id", "line_no"], "left")
+    return joined.withColumn("text", F.concat_ws("\n", "text", "_more")).withColumn("line_end", F.coalesce("line_end", "line_no")).drop("_more")
 
 
 def _cut(items: DataFrame) -> DataFrame:
@@ -116,6 +120,8 @@ def _sessions(owners: DataFrame) -> DataFrame:
     A piece whose first line repeats the last line of an earlier transcript goes
     on with its session. Chains of such transcripts are followed by doubling.
     """
+    if owners.where("chunk is not null").isEmpty():
+        return owners.withColumn("session", F.col("stated")).withColumn("continued", F.lit(False))
     tails = owners.where("chunk is not null").select("source_id", F.col("last_text").alias("first_text"), F.col("first_line").alias("tail_line"))
     earlier = owners.join(tails, ["source_id", "first_text"], "left").where("tail_line is null or tail_line < first_line")
     keys = ["source_id", "group", "piece"]
@@ -131,14 +137,22 @@ def _sessions(owners: DataFrame) -> DataFrame:
 
 
 def parse(lines: DataFrame) -> DataFrame:
-    """Events of event-log lines (``source_id``, ``line_no``, ``text``), with sessions, requests and blocks as contexts."""
-    lines = settled(_groups(settled(_items(lines.where(F.trim("text") != "")))))
-    items = settled(_cut(_attached(lines)))
-    owners = _sessions(settled(_owners(items)))
+    """Events of event-log lines (``source_id``, ``line_no``, ``text``), with sessions, requests and blocks as contexts.
+
+    Each step's table goes when the next one is stored.
+    """
+    spark, raw, made = lines.sparkSession, [], []
+    lines = stored(_groups(stored(_items(lines.where(F.trim("text") != "")), raw)), made)
+    discard(spark, raw)
+    others = stored(lines.where(F.col("role").isin("start", "shutdown", "begin", "end")))
+    items = stored(_cut(_attached(lines)), raw)
+    discard(spark, made)
+    owners = _sessions(stored(_owners(items), raw))
     items = rules.classify(items.join(owners.select("source_id", "group", "piece", "first_line", "session", "continued", "size", "delimited"), ["source_id", "group", "piece"]), "message", rules.EVENT_LOG_RULES)
-    items = settled(items.where(~(F.col("continued") & (F.col("line_no") == F.col("first_line")))))
+    items = stored(items.where(~(F.col("continued") & (F.col("line_no") == F.col("first_line")))))
+    discard(spark, raw)
     is_block = F.col("session").isNull() & F.col("chunk").isNull() & (F.col("delimited") == 1) & (F.col("size") >= 2)
-    return _line_events(items.where(~is_block & F.col("stamped"))).unionByName(_blocks(items.where(is_block & F.col("stamped")))).unionByName(_others(lines)).unionByName(_bare(items.where(~F.col("stamped"))))
+    return _line_events(items.where(~is_block & F.col("stamped"))).unionByName(_blocks(items.where(is_block & F.col("stamped")))).unionByName(_others(others)).unionByName(_bare(items.where(~F.col("stamped"))))
 
 
 OUT = ["source_id", "line_start", "line_end", "text", "message", "wall", "offset", "ts_flag", "etype", "severity", "context", "context_kind", "context_label", "ids", "segment"]
@@ -188,7 +202,6 @@ def _blocks(items: DataFrame) -> DataFrame:
 def _others(lines: DataFrame) -> DataFrame:
     """Restart headers, shutdowns and transcript marks."""
     wall, offset = rfc2822(F.regexp_extract("text", _SHUTDOWN, 1))
-    lines = lines.where(F.col("role").isin("start", "shutdown", "begin", "end"))
     role = F.col("role")
     lines = lines.withColumn("_wall", F.when(role == "shutdown", wall).when(role != "start", F.col("wall"))).withColumn("_offset", F.when(role == "shutdown", offset))
     flag = F.when(role == "start", "none").when(role == "shutdown", F.when(F.col("_wall").isNotNull(), "exact").otherwise("none")).otherwise("local")

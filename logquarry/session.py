@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -62,6 +63,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Like ``settled``, by a compressed table in the shared folder; its path is added to ``paths``, so that ``discard`` can take it away when it has been used."""
+    path = f"{checkpoint_ready(df.sparkSession).sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of ``stored`` from which nothing is read any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt to all cores by ``keys`` where it comes in fewer partitions, as a small file does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,13 +1,15 @@
 """Queries on tables that the small ones don't show: old times, many users, more ranges than tasks."""
 
 import datetime as dt
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from logquarry import plans
-from logquarry.operators import entities
+from logquarry.operators import entities, sessions
+from logquarry.session import checkpoint_ready
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -79,3 +81,15 @@ def test_values_come_back_as_they_were_written(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([(k, t, "en", "src0", len(t)) for k, t in enumerate(texts)], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert len(same(spark, str(tmp_path), "restore_roundtrip", "documents")) == 8
+
+
+def test_sessions_leave_no_intermediate_tables(spark):
+    """Of a parsed event log only its items and marks stay on disk."""
+    folder = checkpoint_ready(spark).sparkContext.getCheckpointDir().removeprefix("file:")
+    there = set(os.listdir(folder))
+    stamp = "Mon 2024-01-01 10:00:0%d.000: "
+    log = [stamp % 1 + "Session 00000007; child 1", stamp % 2 + "Authenticated as user7@example.com", "  more of it", stamp % 3 + "----------", stamp % 4 + "alone"]
+    events = sessions.parse(spark.createDataFrame([("a", k, t) for k, t in enumerate(log, 1)], "source_id string, line_no long, text string"))
+    rows = {r["line_start"]: (r["line_end"], r["context"], r["text"]) for r in events.collect()}
+    assert rows[2] == (3, "session:0:00000007", "\n".join(log[1:3])) and rows[5][0] == 5 and len(rows) == 4
+    assert len(set(os.listdir(folder)) - there) <= 2
