@@ -220,6 +220,11 @@ def _from_five(raw: np.ndarray) -> np.ndarray:
     return wide.view("<u8").ravel().astype(np.uint64)
 
 
+def _held(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The keys that the ordered ``known`` ones have, looked up one by one: a bucket has many blocks' keys, which mustn't cost all of ``known`` each."""
+    return keys[known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys] if len(known) else keys[:0]
+
+
 def _shared_minimizers(blocks: DataFrame, side: DataFrame, buckets: int) -> DataFrame:
     """Side rows: the block's minimizers that occur in two documents."""
 
@@ -243,7 +248,7 @@ def _shared_minimizers(blocks: DataFrame, side: DataFrame, buckets: int) -> Data
         keys = [_from_five(a[0]) for a in asked]
         every = np.sort(np.concatenate(keys))
         twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[k[a[1]] for k, a in zip(keys, asked, strict=True)]]))
-        found = [k[np.isin(k, twice)] for k in keys]
+        found = [_held(k, twice) for k in keys]
         return _told([b for b, f in zip(group["block"].to_pylist(), found, strict=True) if len(f)], SHARED, [_pack(_five(f)) for f in found if len(f)])
 
     return blocks.groupBy("block").cogroup(side.groupBy("block")).applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(tell, SIDE)
